@@ -11,8 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch sent to Python; bounds a worker's memory when documents are long.
 BATCH_ROWS = 2000
@@ -43,11 +42,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def text_of(docs: DataFrame, column: str = "text") -> Column:
-    """The text column by exact name as a string."""
-    return docs[column].cast("string")
-
-
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length n + 1, from 0) of a string array; nulls have length 0."""
     if isinstance(array, pa.ChunkedArray):
@@ -174,5 +168,45 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
-def unhashable_nulls(c: str) -> Column:
-    return F.col(c).isNotNull()
+class HashIndex:
+    """Positions of distinct 64-bit keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        # a table of keys beside the slots saves one indirection; key 0 stands for an empty slot and is looked up by slot
+        self.table = np.zeros(1 << bits, np.uint64)
+        left = np.arange(len(keys))
+        at = self._first(self.keys)
+        while len(left):
+            free = self.slots[at[left]] < 0
+            now, where = np.unique(at[left[free]], return_index=True)
+            chosen = left[free][where]
+            self.slots[now], self.table[now] = chosen, self.keys[chosen]
+            left = np.setdiff1d(left, chosen, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 for those that aren't there."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys) or not len(keys):
+            return out
+        at = self._first(keys)
+        slot, same = self.slots[at], self.table[at] == keys
+        np.copyto(out, slot, where=same & (slot >= 0))
+        left = np.flatnonzero(~same & (slot >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            slot, same = self.slots[at], self.table[at] == keys[left]
+            hit = same & (slot >= 0)
+            out[left[hit]] = slot[hit]
+            more = ~same & (slot >= 0)
+            left, at = left[more], at[more]
+        return out

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_formatting
+from .decontaminate import op2_benchmark_decontamination
+from .pieces import op7_sentencepiece_merge_dropout
+from .pseudonyms import op9_pii_pseudonyms
 from .rules import op3_quality_rules
 from .simhash import op6_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {
-        "op1_chat_formatting": op1_chat_formatting,
-        "op3_quality_rules": op3_quality_rules,
-        "op6_simhash_near_dedup": op6_simhash_near_dedup,
-    }
+    every = (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op6_simhash_near_dedup, op7_sentencepiece_merge_dropout, op9_pii_pseudonyms)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

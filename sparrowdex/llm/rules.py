@@ -24,7 +24,7 @@ MAX_LABELLED = 20_000
 MIN_PRECISION = 0.9
 MAX_RULES, MAX_CONDITIONS, CUTS = 16, 4, 64
 
-STATS = ("chars", "words", "upper", "digit", "symbol", "pipe", "bang", "word_len", "line_len", "repeated")
+STATS = ("chars", "words", "upper", "digit", "symbol", "pipe", "bang", "word_len", "line_len", "repeated", "echo")
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -46,6 +46,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "word_len": F.round(F.when(words > 0, chars / words).otherwise(0.0), 6),
         "line_len": F.round(chars / n_lines, 6),
         "repeated": F.round(1.0 - F.size(F.array_distinct(lines)) / n_lines, 6),
+        "echo": F.round(F.when(words > 0, count(r"(?<!\S)(\S+)(?= \1(?!\S))") / words).otherwise(0.0), 6),
     }
 
 
