@@ -111,13 +111,13 @@ OP10_SQL = f"""
 WITH lib AS (SELECT template, {_TOKENS.format("body")} AS w FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))}) AS v(template, body)),
 tg AS (SELECT template, len(w) AS size, p AS place, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS gram FROM lib, LATERAL (SELECT unnest(range(len(w) - {K - 1})) AS p)),
 dw AS (SELECT doc_id, {_TOKENS.format("text")} AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-dg AS (SELECT doc_id, p AS at, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS gram FROM dw, LATERAL (SELECT unnest(range(len(w) - {K - 1})) AS p)),
-votes AS (SELECT DISTINCT doc_id, template, size, at, place, at - place AS diagonal FROM dg JOIN tg USING (gram)),
+dg AS (SELECT doc_id, p AS pos, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS gram FROM dw, LATERAL (SELECT unnest(range(len(w) - {K - 1})) AS p)),
+votes AS (SELECT DISTINCT doc_id, template, size, pos, place, pos - place AS diagonal FROM dg JOIN tg USING (gram)),
 ds AS (SELECT DISTINCT doc_id, template, diagonal FROM votes),
 df AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {GAP}, true) THEN 1 ELSE 0 END AS far FROM ds),
 sp AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM df),
 vs AS (SELECT v.*, span FROM votes v JOIN sp USING (doc_id, template, diagonal)),
-own AS (SELECT doc_id, template, span, min(x) AS first_word, max(x) AS last_word, count(DISTINCT x) AS words FROM (SELECT doc_id, template, span, at + k AS x FROM vs, (VALUES (0), (1), (2)) AS s(k)) GROUP BY ALL),
+own AS (SELECT doc_id, template, span, min(x) AS first_word, max(x) AS last_word, count(DISTINCT x) AS words FROM (SELECT doc_id, template, span, pos + k AS x FROM vs, (VALUES (0), (1), (2)) AS s(k)) GROUP BY ALL),
 theirs AS (SELECT doc_id, template, span, count(DISTINCT place + k) AS n FROM vs, (VALUES (0), (1), (2)) AS s(k) GROUP BY ALL),
 cnt AS (SELECT doc_id, template, span, size, count(*) AS votes FROM vs GROUP BY ALL),
 good AS (SELECT doc_id, template, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, CAST(votes AS BIGINT) AS votes, round(n / size, 6) AS covered

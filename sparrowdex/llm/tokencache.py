@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._text import bounded_batches, checkpointed, shared_dir
 
 VOCABULARY = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most digests to broadcast to the scan; more of them are joined by shuffle.
 BROADCAST_DIGESTS = 200_000
 
