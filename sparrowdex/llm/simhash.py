@@ -36,6 +36,8 @@ RECALL = 0.9
 MIN_WORDS = 8
 #: Planes between two checks for abandoned words.
 GROUP = 32
+#: Bits of a word's hash that vote, below the row's number in a sort key; chunks have fewer than 2 ** 24 rows.
+_HASH = np.uint64(40)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,12 +45,12 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Fingerprints (rows x 2 of uint64) and number of words of the texts."""
     n = len(off) - 1
     out, count = np.zeros((n, 2), np.uint64), np.zeros(n, np.int64)
-    for a, b in chunks(np.diff(off)):
+    for a, b in chunks(np.diff(off) + 1):
         hashed, row, _, _ = words(data[off[a] : off[b]], off[a : b + 1] - off[a])
         if not len(hashed):
             continue
         count[a:b] = np.bincount(row, minlength=b - a)
-        shift = np.uint64(64 - max(1, int(b - a).bit_length()))
+        shift = _HASH  # the same for every chunk, or copies in chunks of other sizes would differ
         key = np.sort((row.astype(np.uint64) << shift) | (hashed >> (np.uint64(64) - shift)))
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
         at = (key >> shift).astype(np.int64)
