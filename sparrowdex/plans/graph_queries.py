@@ -59,7 +59,7 @@ def anti_trust_rank(spark, sf_dir):
 
 
 @query(
-    f"WITH {_BASE}, {_SEEDS}, {ranks('ir', 'er', 'nodes', None, STEPS)}, {ranks('anti', 'er', 'nodes', 'tp', STEPS)}, b AS (SELECT id FROM ir ORDER BY rank DESC, id LIMIT 2000) SELECT id FROM b JOIN anti USING (id) WHERE anti.rank <= 2e0 / (SELECT count(*) FROM anti)"
+    f"WITH {_BASE}, {_SEEDS}, {ranks('ir', 'er', 'nodes', None, STEPS)}, {ranks('atr', 'er', 'nodes', 'tp', STEPS)}, b AS (SELECT id FROM ir ORDER BY rank DESC, id LIMIT 2000) SELECT id FROM b JOIN atr USING (id) WHERE atr.rank <= 2e0 / (SELECT count(*) FROM atr)"
 )
 def trust_seed_selection(spark, sf_dir):
     e, n = _graph(spark, sf_dir)
