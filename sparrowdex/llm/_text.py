@@ -6,6 +6,7 @@ rather than a Python object for each document or word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in an Arrow batch sent to Python; bounds a worker's memory when documents are long.
 BATCH_ROWS = 2000
 #: Bytes of text that one pass of numpy works on; longer texts form a chunk of their own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -42,6 +43,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def released(run):
+    """run, after which a Python worker, which stays for the next tasks, gives the memory that it no longer uses back to the machine."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return wrapped
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length n + 1, from 0) of a string array; nulls have length 0."""
     if isinstance(array, pa.ChunkedArray):

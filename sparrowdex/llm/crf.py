@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import bounded_batches, chunks, mix, utf8, words
+from ._text import bounded_batches, chunks, mix, released, utf8, words
 
 #: Most labelled documents, and lines, that a fit takes.
 MAX_LABELLED, MAX_LINES = 3_000, 200_000
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         total, least = total + k, h
     if least is None:
         return None
-    table = rows.where(F.col("__h") <= F.lit(least)).mapInArrow(features, "id long, q long, h long, first boolean, x array<float>").toArrow()
+    table = rows.where(F.col("__h") <= F.lit(least)).mapInArrow(released(features), "id long, q long, h long, first boolean, x array<float>").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(np.float64)
     good = table.column("q").to_numpy() != 0
     if good.all() or not good.any():
@@ -273,7 +273,7 @@ def line_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     bounded_batches(docs.sparkSession)
     field = train(docs, labels, max_labelled)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_judge(field), "doc_id long, quality double, n_lines long, bad_lines long, keep boolean")
+    return rows.mapInArrow(released(_judge(field)), "doc_id long, quality double, n_lines long, bad_lines long, keep boolean")
 
 
 def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

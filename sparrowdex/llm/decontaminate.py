@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import HashIndex, bounded_batches, chunks, rolled, spans, utf8, words
+from ._text import HashIndex, bounded_batches, chunks, released, rolled, spans, utf8, words
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score that retrieves it, and least overlaps that confirm it.
@@ -258,7 +258,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS, share: float = SHARE) -> Iterator[Index]:
     """Indexes of the benchmark's items, one at a time."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    sized = items.mapInArrow(_item_words, "item_id long, term long, size long").where(F.col("size") >= MIN_WORDS)
+    sized = items.mapInArrow(released(_item_words), "item_id long, term long, size long").where(F.col("size") >= MIN_WORDS)
     n, total = sized.select("item_id", "size").distinct().agg(F.count("*"), F.sum("size")).first()
     if not n:
         return
@@ -281,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS,
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     found = None
     for index in indexes(benchmark, shard_words, share):
-        one = rows.mapInArrow(_finder(index), _MATCH)
+        one = rows.mapInArrow(released(_finder(index)), _MATCH)
         found = one if found is None else found.union(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], _MATCH)
@@ -308,7 +308,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of the pipeline: the documents that hold no item of the benchmark."""
     bounded_batches(spark)
     for index in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = docs.mapInArrow(_cleaner([index]), docs.schema)
+        docs = docs.mapInArrow(released(_cleaner([index])), docs.schema)
     return docs
 
 

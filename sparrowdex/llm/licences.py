@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import bounded_batches, chunks, ragged, rolled, utf8, words
+from ._text import bounded_batches, chunks, ragged, released, rolled, utf8, words
 
 K = 3
 #: Diagonals at most this far apart are merged.
@@ -81,7 +81,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     library = spark.createDataFrame(grams, "gram long, template string, place int, size int")
     library = F.broadcast(library) if len(grams) <= BROADCAST_GRAMS else library
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
-    rows = rows.mapInArrow(_grams, "doc_id long, grams array<long>").select("doc_id", F.posexplode("grams").alias("at", "gram"))
+    rows = rows.mapInArrow(released(_grams), "doc_id long, grams array<long>").select("doc_id", F.posexplode("grams").alias("at", "gram"))
     votes = rows.join(library, "gram").select("doc_id", "template", "size", "at", "place", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     lines = votes.groupBy("doc_id", "template", "size", "diagonal").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
     by_diagonal = Window.partitionBy("doc_id", "template").orderBy("diagonal")

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._text import bounded_batches, chunks, mix, spans, utf8
+from ._text import bounded_batches, chunks, mix, released, spans, utf8
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED, LANES = 0.1, 17, 8
@@ -372,7 +372,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
     """(doc_id, ids, n_ids, lossless) of every document. lossless: the ids decode to the text."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(model, dropout, seed, lanes), "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    return rows.mapInArrow(released(_encoder(model, dropout, seed, lanes)), "doc_id long, ids array<int>, n_ids long, lossless boolean")
 
 
 def _decoder(path: str):
@@ -394,7 +394,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of encoded documents."""
     bounded_batches(encoded.sparkSession)
     rows = encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"].cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_decoder(model), "doc_id long, text string")
+    return rows.mapInArrow(released(_decoder(model)), "doc_id long, text string")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

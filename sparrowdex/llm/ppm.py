@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import HashIndex, bounded_batches, checkpointed, chunks, mix, shared_dir, utf8
+from ._text import HashIndex, bounded_batches, checkpointed, chunks, mix, released, shared_dir, utf8
 
 ORDER = 4
 MAX_NODES = 1_000_000
@@ -99,7 +99,7 @@ def train(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> st
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    top = checkpointed(rows.mapInArrow(_counter(order), "half long, path long, n long").groupBy("half", "path").agg(F.sum("n").alias("n")))
+    top = checkpointed(rows.mapInArrow(released(_counter(order)), "half long, path long, n long").groupBy("half", "path").agg(F.sum("n").alias("n")))
     folder, cutoff = shared_dir(spark, "ppm"), None
     for level in range(order, -1, -1):
         mask = (1 << (8 * (level + 1))) - 1
@@ -225,7 +225,7 @@ def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Da
     """(doc_id, n_bytes, bits, bits_per_byte) of every document under counts of the half it isn't in."""
     folder = train(docs, order, max_nodes)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(folder, order), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    return rows.mapInArrow(released(_scorer(folder, order)), "doc_id long, n_bytes long, bits double, bits_per_byte double")
 
 
 class Trie:
@@ -275,7 +275,7 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([round(adaptive_bits(t, order), 2) for t in texts], pa.float64())], ["doc_id", "n_bytes", "bits"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, bits double")
+    return rows.mapInArrow(released(run), "doc_id long, n_bytes long, bits double")
 
 
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._text import bounded_batches
+from ._text import bounded_batches, released
 
 #: In production the key comes from the caller; this one makes results repeatable.
 KEY = b"sparrowdex-pseudonyms"
@@ -243,7 +243,7 @@ def _rewriter(key: bytes, back: bool, column: str, counted: bool):
 def with_pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
     """docs with the personal values of text replaced (or, with back, restored)."""
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(_rewriter(key, back, "text", False), docs.schema)
+    return docs.mapInArrow(released(_rewriter(key, back, "text", False)), docs.schema)
 
 
 def mask_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -255,4 +255,4 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, found) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bounded_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(_rewriter(KEY, False, "text", True), "doc_id long, text string, found long")
+    return docs.select("doc_id", "text").mapInArrow(released(_rewriter(KEY, False, "text", True)), "doc_id long, text string, found long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import bounded_batches, checkpointed, chunks, mix, utf8, words
+from ._text import bounded_batches, checkpointed, chunks, mix, released, utf8, words
 
 BITS = 128
 #: Most differing bits of near copies.
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b) of the documents that have words and a doc_id."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(_sign, "doc_id long, a long, b long")
+    return rows.mapInArrow(released(_sign), "doc_id long, a long, b long")
 
 
 def plan_bands(n: int, radius: int = RADIUS, recall: float = RECALL) -> np.ndarray:
@@ -294,8 +294,8 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -
     sig = checkpointed(signatures(docs))
     one = checkpointed(sig.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("n")))
     n = one.count()
-    bands = one.select("id", "a", "b").mapInArrow(_band_rows(plan_bands(n, radius, recall)), "key long, id long, a long, b long")
-    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(radius), "u long, v long")
+    bands = one.select("id", "a", "b").mapInArrow(released(_band_rows(plan_bands(n, radius, recall))), "key long, id long, a long, b long")
+    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(released(_edges(radius)), "u long, v long")
     root = components(edges)
     grouped = one.join(root, one["id"] == root["u"], "left").select("a", "b", "n", F.coalesce("root", "id").alias("root"))
     sizes = grouped.groupBy("root").agg(F.sum("n").alias("group_size")).where("group_size > 1")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import bounded_batches, checkpointed, shared_dir
+from ._text import bounded_batches, checkpointed, released, shared_dir
 
 VOCABULARY = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, cache: str, path: str = VOCABULARY, pattern: s
         texts = docs.select(digest.alias("digest"), text.alias("__text")).where("digest is not null")
         if not empty:  # an empty cache lacks every digest
             texts = texts.join(F.broadcast(misses) if n <= BROADCAST_DIGESTS else misses, "digest", "left_semi")
-        new = texts.dropDuplicates(["digest"]).mapInArrow(_counter(path, pattern), "digest binary, n_tokens long")
+        new = texts.dropDuplicates(["digest"]).mapInArrow(released(_counter(path, pattern)), "digest binary, n_tokens long")
         new.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     return keyed.join(stored(spark, cache, version), "digest", "left").select("doc_id", F.hex("digest").alias("digest"), "n_tokens")
 
