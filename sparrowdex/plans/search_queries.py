@@ -86,14 +86,14 @@ def sparse_search(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, round(sum(score), 4) AS total, count(*) AS n FROM r WHERE rank <= 10 GROUP BY query_id"""
+    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, round(sum(score), 9) AS total, count(*) AS n FROM r WHERE rank <= 10 GROUP BY query_id"""
 )
 def vector_search(spark, sf_dir):
     """Every vector as a query: the sums of its ten best similarities (ids of near-ties may differ by rounding)."""
     v = table(spark, sf_dir, "embeddings")
     found = retrieve.nearest(v.select(F.col("vec_id").alias("query_id"), "embedding"), v, 10)
-    return found.groupBy("query_id").agg(F.round(F.sum(F.round("score", 6)), 4).alias("total"), F.count("*").alias("n"))
+    return found.groupBy("query_id").agg(F.round(F.sum("score"), 9).alias("total"), F.count("*").alias("n"))
 
 
 @query()
