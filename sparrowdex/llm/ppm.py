@@ -1,15 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The pretrained model is a trie of byte contexts up to ORDER, counted over all documents and stored level by level with packed paths
-(a context's bytes and the next one). Half of the documents, by a hash of doc_id, is scored with counts of the other half, so no document
+The pretrained model is a trie of byte contexts up to ORDER, counted over all documents, with packed paths (a context's bytes and the
+next one). Half of the documents, by a hash of doc_id, is scored with counts of the other half, so no document
 is predicted from itself. A byte is coded at the longest known context; what that hasn't seen escapes (method C: a context of total C
 with q different bytes escapes with q / (C + q)) to the next shorter one, where the bytes that the longer one has seen are excluded.
-Contexts of a static trie nest, so totals after exclusion depend on the longer context alone and are stored with it: scoring is some
-lookups for each byte, done for all bytes of a chunk at once. Bytes unseen everywhere are coded evenly among those that are left.
+Contexts of a static trie nest, so totals after exclusion depend on the longer context alone and are stored with it. Bytes unseen
+everywhere are coded evenly among those that are left.
 
-Counting makes partial sums beside the scan and adds them by shuffle. The levels are written to the shared folder and read by each
-Python worker. A level of more than MAX_NODES paths keeps those with the largest counts (a cutoff chosen from the counts of all
-paths), which bounds a worker's memory at any input.
+A byte's code length depends on its path alone, so it is computed once for each distinct path. Counting makes partial sums beside the
+scan and adds them by shuffle. All paths whose contexts end in the same two bytes meet in one task with the first two levels, which have
+65,792 paths at most; that is all a path's code length needs. Workers hold the code lengths of the CACHED most frequent paths; bytes
+of other paths join theirs by shuffle. No path is dropped: CACHED only decides where a code length is looked up.
 
 Adaptive scores, where a document's own trie grows with every byte, are made by adaptive_bits.
 
@@ -26,13 +27,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import HashIndex, bounded_batches, checkpointed, chunks, mix, released, shared_dir, utf8
+from ._text import HashIndex, bounded_batches, checkpointed, chunks, mix, ragged, released, shared_dir, utf8
 
 ORDER = 4
-MAX_NODES = 1_000_000
+#: Paths whose code lengths each worker holds; the others are joined.
+CACHED = 1_000_000
+#: Paths whose code lengths are computed at once; contexts that end in the same two bytes stay together.
+_BUNDLE = 1 << 19
 _CHUNK = 1 << 20
 _FLUSH = 1_500_000
 
@@ -94,20 +99,33 @@ def _counter(order: int):
     return run
 
 
-def train(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> str:
-    """Counts the paths of all documents; returns the folder with (level, half, path, n)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(half, path, n) of the longest paths of all documents."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    top = checkpointed(rows.mapInArrow(released(_counter(order)), "half long, path long, n long").groupBy("half", "path").agg(F.sum("n").alias("n")))
-    folder, cutoff = shared_dir(spark, "ppm"), None
+    return checkpointed(rows.mapInArrow(released(_counter(order)), "half long, path long, n long").groupBy("half", "path").agg(F.sum("n").alias("n")))
+
+
+def _suffixes(top: DataFrame, level: int) -> DataFrame:
+    mask = (1 << (8 * (level + 1))) - 1
+    return top.groupBy("half", F.col("path").bitwiseAND(F.lit(mask)).alias("path")).agg(F.sum("n").alias("n"))
+
+
+def _least(rows: DataFrame, most: int, *by: str) -> int | None:
+    """The least count such that no group has more than most rows of at least that count."""
+    kept = F.sum("count").over(Window.partitionBy(*by).orderBy(F.desc("n")))
+    return rows.groupBy(*by, "n").count().withColumn("kept", kept).where(F.col("kept") <= most).groupBy(*by).agg(F.min("n").alias("n")).agg(F.max("n")).first()[0]
+
+
+def train(docs: DataFrame, order: int = ORDER, max_nodes: int | None = None) -> str:
+    """The model as a table for other programs: a folder with (level, half, path, n). max_nodes: a bound for each level, if one is wanted."""
+    top = counted(docs, order)
+    folder, cutoff = shared_dir(docs.sparkSession, "ppm"), 1
     for level in range(order, -1, -1):
-        mask = (1 << (8 * (level + 1))) - 1
-        rows = top.groupBy("half", F.col("path").bitwiseAND(F.lit(mask)).alias("path")).agg(F.sum("n").alias("n"))
-        by_count = rows.groupBy("half", "n").count()
-        kept = F.sum("count").over(Window.partitionBy("half").orderBy(F.desc("n")))
-        least = by_count.withColumn("kept", kept).where(F.col("kept") <= max_nodes).groupBy("half").agg(F.min("n").alias("n")).agg(F.max("n")).first()[0]
-        cutoff = min(c for c in (cutoff, least or 1) if c is not None)  # a shorter path is never rarer, so it stays if its extension does
+        rows = _suffixes(top, level)
+        if max_nodes is not None:
+            least = _least(rows, max_nodes, "half") or 1
+            cutoff = min(cutoff, least) if level < order else least  # a shorter path is never rarer, so it stays if its extension does
         rows.where(F.col("n") >= cutoff).withColumn("level", F.lit(level)).write.mode("append").parquet(folder)
     return folder
 
@@ -179,53 +197,109 @@ class Model:
         return out
 
 
+def _coster(low: list[list[tuple[np.ndarray, np.ndarray]]], order: int):
+    """Code lengths of (context, half, path, n), which come sorted by context. low: the first two levels of either half."""
+
+    def costs(half: np.ndarray, path: np.ndarray, n: np.ndarray) -> np.ndarray:
+        bits = np.zeros(len(path))
+        for h in (0, 1):
+            mine, other = half == h, half != h
+            if mine.any():
+                own = [_runs(path[other] & ((1 << (8 * (k + 1))) - 1), n[other]) for k in range(2, order + 1)]
+                bits[mine] = Model(low[1 - h] + own).bits(path[mine])
+        return bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+            _, half, path, n = rows
+            return pa.RecordBatch.from_arrays([pa.array(path | (half << 48)), pa.array(n), pa.array(costs(half, path, n))], ["key", "n", "bits"])
+
+        size, next_at = 0, _BUNDLE
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size >= next_at:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last context may go on
+                if cut:
+                    yield out([c[:cut] for c in rows])
+                held, size = [[c[cut:] for c in rows]], size - cut
+                next_at = max(_BUNDLE, 2 * size)
+        if size:
+            yield out([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def path_costs(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n, bits) of all paths: half << 48 | path, how often it is in that half, and its code length under counts of the other half."""
+    top = counted(docs, order)
+    low = [[], []]
+    for level in range(min(order, 1) + 1):
+        t = _suffixes(top, level).toArrow()
+        half, path, n = (t.column(c).to_numpy() for c in ("half", "path", "n"))
+        for h in (0, 1):
+            low[h].append(_runs(path[half == h], n[half == h]))
+    context = F.shiftright("path", 8).bitwiseAND(F.lit(0xFFFF)).alias("context")
+    rows = top.select(context, "half", "path", "n").repartition("context").sortWithinPartitions("context")
+    return checkpointed(rows.mapInArrow(released(_coster(low, order)), "key long, n long, bits double"))
+
+
 @lru_cache(1)
-def load(folder: str, order: int) -> tuple[Model, Model]:
-    """The models that score half 0 and half 1: each has the counts of the other."""
+def load(folder: str) -> tuple[HashIndex, np.ndarray]:
+    """The paths of a folder, and their code lengths with a 0 at the end for those that aren't there."""
     import pyarrow.dataset as ds
     import pyarrow.fs as fs
 
     where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
     table = ds.dataset(path, filesystem=where, format="parquet").to_table()
-    half, gram, n, level = (table.column(c).to_numpy() for c in ("half", "path", "n", "level"))
-    models = []
-    for h in (1, 0):
-        levels = []
-        for k in range(order + 1):
-            mine = (half == h) & (level == k)
-            o = np.argsort(gram[mine], kind="stable")
-            levels.append((gram[mine][o], n[mine][o]))
-        models.append(Model(levels))
-    return models[0], models[1]
+    return HashIndex(table.column("key").to_numpy()), np.append(table.column("bits").to_numpy(), 0.0)
 
 
 def _scorer(folder: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = load(folder, order)
+        index, cost = load(folder)
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             half = _half(batch.column(0))
             data, off = utf8(batch.column(1))
             bits = np.zeros(batch.num_rows)
+            rare, count = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
             for a, b in chunks(np.diff(off), _CHUNK):
-                size = np.diff(off[a : b + 1])
-                paths = _paths(data[off[a] : off[b]], off[a : b + 1] - off[a], order)
-                row = np.repeat(np.arange(a, b), size)
-                for h in (0, 1):
-                    mine = half[row] == h
-                    if mine.any():
-                        bits += np.bincount(row[mine], weights=models[h].bits(paths[mine]), minlength=len(bits))
-            size = np.diff(off)
-            rate = pa.array(np.round(bits / np.maximum(size, 1), 4), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.round(bits, 2)), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+                row = np.repeat(np.arange(a, b), np.diff(off[a : b + 1]))
+                key = _paths(data[off[a] : off[b]], off[a : b + 1] - off[a], order) | (half[row] << 48)
+                at = index.find(key.astype(np.uint64))
+                bits += np.bincount(row, weights=cost[at], minlength=len(bits))
+                left = at < 0
+                rare.append(key[left])
+                count += np.bincount(row[left], minlength=len(bits))
+            ids = pa.array(first + np.arange(batch.num_rows))
+            first += batch.num_rows
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(np.diff(off)), pa.array(bits), ragged(np.concatenate(rare), count, pa.int64())], ["row", "doc_id", "n_bytes", "bits", "rare"])
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, cached: int = CACHED) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every document under counts of the half it isn't in."""
-    folder = train(docs, order, max_nodes)
+    spark = docs.sparkSession
+    costs = path_costs(docs, order)
+    least = _least(costs, cached)
+    folder = shared_dir(spark, "ppm-frequent")
+    frequent = F.lit(False) if least is None else F.col("n") >= least
+    costs.where(frequent).select("key", "bits").coalesce(1).write.parquet(folder)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(released(_scorer(folder, order)), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    out = rows.mapInArrow(released(_scorer(folder, order)), "row long, doc_id long, n_bytes long, bits double, rare array<long>")
+    others = costs.where(~frequent).select("key", F.col("bits").alias("more"))
+    if not others.isEmpty():
+        at = shared_dir(spark, "ppm-rows")
+        out.write.parquet(at)  # row numbers are those of one run
+        out = spark.read.parquet(at)
+        added = out.select("row", F.explode("rare").alias("key")).join(others, "key").groupBy("row").agg(F.sum("more").alias("more"))
+        out = out.drop("rare").join(added, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_bytes", F.round("bits", 2).alias("bits"), F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 4)).alias("bits_per_byte"))
 
 
 class Trie:

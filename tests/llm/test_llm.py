@@ -292,6 +292,26 @@ def test_node_bound_keeps_the_most_frequent(spark):
     assert kept.agg({"n": "min"}).first()[0] > 8
 
 
+@pytest.mark.parametrize("held", [0, 50, 400])
+def test_scores_use_every_path_however_few_are_held(spark, monkeypatch, held):
+    rng = random.Random(19)
+    texts = [prose(rng, 40) for _ in range(20)] + ["αβγ rare bytes " + prose(rng, 5), "αβγ rare bytes", "", None]
+    docs = docs_of(spark, texts).union(docs_of(spark, texts[:1]))
+    monkeypatch.setattr(ppm, "_BUNDLE", 100)
+    half = ppm._half(pa.array(range(len(texts))))
+    tries = [ppm.Trie(), ppm.Trie()]
+    for k, t in [*enumerate(texts), (0, texts[0])]:
+        b = bytes(4) + (t or "").encode()
+        for i in range(4, len(b)):
+            tries[half[k]].add(b[i - 4 : i], b[i])
+    got = ppm.score(docs, 4, held).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        b = bytes(4) + (texts[r["doc_id"]] or "").encode()
+        want = sum(tries[1 - half[r["doc_id"]]].bits(b[i - 4 : i], b[i]) for i in range(4, len(b)))
+        assert abs(r["bits"] - want) < 0.01 and r["n_bytes"] == len(b) - 4
+
+
 def test_adaptive_beats_even_coding(spark):
     text = b"the cat sat on the mat and the cat sat on the hat " * 4
     assert ppm.adaptive_bits(text) < 3 * len(text)
