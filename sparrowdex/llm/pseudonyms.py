@@ -3,7 +3,8 @@
 A value is found by shape, validated (Luhn for cards, mod 97 for IBANs, ranges for phones, SSNs and IPv4 addresses, the calendar for
 dates) and mapped to a number in the mixed radix of its format; the permutation of that range gives another valid value of the same
 shape and length, with its check digits made anew. Equal values get equal pseudonyms in all documents, whatever their separators, and
-whoever has the key can go back. What looks like a number but fails validation stays.
+whoever has the key can go back. What looks like a number but fails validation stays. Of digits in a row the shortest valid card at a
+separator is taken, and the search goes on behind it. Dates with one-digit fields or short names of months stay within that form.
 
 Cases: a null text stays null, an empty one empty; texts without digits or @ aren't touched; documents of any length are scanned whole;
 repeated rows give repeated rows; an empty table gives no rows; other columns pass through untouched, whatever their names.
@@ -91,10 +92,14 @@ class Feistel:
         return self.chars("email", local) + "@" + domain
 
     def secret(self, text: str) -> str:
-        hexed = re.fullmatch(r"[0-9a-f]+", text)
-        if hexed:
-            return "".join(f"{d:x}" for d in self.mixed("hex", [16] * len(text), [int(c, 16) for c in text]))
-        return self.chars("secret", text)
+        hexed, out = re.fullmatch(r"[0-9a-f]+", text), []
+        for k in range(0, len(text), _BLOCK):
+            part, block = text[k : k + _BLOCK], str(k // _BLOCK or "")
+            if hexed:
+                out.extend(f"{d:x}" for d in self.mixed("hex" + block, [16] * len(part), [int(c, 16) for c in part]))
+            else:
+                out.append(self.chars("secret" + block, part))
+        return "".join(out)
 
     def ip(self, text: str) -> str:
         parts = text.split(".")
@@ -136,17 +141,53 @@ class Feistel:
                     continue
                 if not 0 <= day < _DAYS:
                     continue
-                new = datetime.date.fromordinal(_FIRST_DAY + permute(self.key, "date", _DAYS, day, self.back))
-                value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+                narrow = any(len(g) == 1 for g in m.groups())
+                while True:
+                    day = permute(self.key, "date", _DAYS, day, self.back)
+                    new = datetime.date.fromordinal(_FIRST_DAY + day)
+                    if not narrow or new.month < 10 or new.day < 10:
+                        break
+                width = 1 if narrow else 2
+                value = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
                 return re.sub(r"\d+", lambda _, n=iter(names): value[next(n)], text)
-        return ""
+        return self.named_date(text)
+
+    def named_date(self, text: str) -> str:
+        said = re.search(r"[A-Za-z]{3,}", text)
+        digits = re.findall(r"\d+", text)
+        if not said or len(digits) != 2:
+            return ""
+        name, short = said.group(), len(said.group()) < 5 and said.group()[:3].title() in _SHORT and said.group().title() not in _MONTHS
+        try:
+            day = datetime.date(int(digits[1]), [x[:3] for x in _MONTHS].index(name[:3].title()) + 1, int(digits[0])).toordinal() - _FIRST_DAY
+        except ValueError:
+            return ""
+        if not 0 <= day < _DAYS:
+            return ""
+        ordinal, padded = re.search(r"\d(st|nd|rd|th)\b", text), digits[0][0] == "0"
+        while True:
+            day = permute(self.key, "date", _DAYS, day, self.back)
+            new = datetime.date.fromordinal(_FIRST_DAY + day)
+            if not (short and new.month == 5) and not (padded and new.day > 9):
+                break
+        month = _MONTHS[new.month - 1][: 3 if short else None]
+        month = month.upper() if name.isupper() else month.lower() if name.islower() else month
+        of_day = f"{new.day:0{1 + padded}d}"
+        if ordinal:
+            of_day += "th" if 10 < new.day < 20 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        values = iter([of_day, f"{new.year:04d}"])
+        return re.sub(r"\d+(?:st|nd|rd|th)?|[A-Za-z]{3,}", lambda m: month if m.group()[0].isalpha() else next(values), text)
 
     def card(self, text: str) -> str:
         digits = re.sub(r"\D", "", text)
-        if not 13 <= len(digits) <= 19 or digits[0] == "0" or not luhn(digits):
+        if not is_card(digits):
             return ""
-        body = digits[0] + "".join(map(str, self.mixed("card" + digits[0], [10] * (len(digits) - 2), [int(c) for c in digits[1:-1]])))
-        return _shaped(text, body + next(c for c in "0123456789" if luhn(body + c)))
+        while True:
+            body = digits[0] + "".join(map(str, self.mixed("card" + digits[0], [10] * (len(digits) - 2), [int(c) for c in digits[1:-1]])))
+            digits = body + next(c for c in "0123456789" if luhn(body + c))
+            new = _shaped(text, digits)
+            if card_end(new) == len(new):  # no shorter card in it, as in text
+                return new
 
     def phone(self, text: str) -> str:
         digits = re.sub(r"\D", "", text)
@@ -164,11 +205,15 @@ class Feistel:
 
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DATES = (
-    (r"(\d{4})-(\d\d)-(\d\d)", ("ymd",)),
-    (r"(\d{4})/(\d\d)/(\d\d)", ("ymd",)),
-    (r"(\d\d)/(\d\d)/(\d{4})", ("mdy", "dmy")),
-    (r"(\d\d)\.(\d\d)\.(\d{4})", ("dmy",)),
+    (r"(\d{4})-(\d\d?)-(\d\d?)", ("ymd",)),
+    (r"(\d{4})/(\d\d?)/(\d\d?)", ("ymd",)),
+    (r"(\d\d?)/(\d\d?)/(\d{4})", ("mdy", "dmy")),
+    (r"(\d\d?)\.(\d\d?)\.(\d{4})", ("dmy",)),
 )
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_SHORT = tuple(x[:3] for x in _MONTHS)
+#: Characters of a secret that are permuted as one number.
+_BLOCK = 128
 
 
 def _shaped(text: str, value: str) -> str:
@@ -183,41 +228,61 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
+def is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and digits[0] != "0" and luhn(digits)
+
+
+def card_end(text: str) -> int:
+    """The end of the shortest valid card that starts a run of digits and ends at a separator or with the run; 0 if there is none."""
+    for m in re.finditer(r"\d(?=\D|$)", text):
+        if is_card(re.sub(r"\D", "", text[: m.end()])):
+            return m.end()
+    return 0
+
+
+_MONTH = r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+_DAY = r"\d\d?(?:st|nd|rd|th)?"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])(?P<email>[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24})"
+_PHONE = r"(?P<phone>\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-. ]\d{3}[\-. ]\d{4})(?![\w]|[\-.]\d)"
 _OTHERS = (
     r"(?<![A-Za-z0-9_.])(?:"
-    r"(?P<date>\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w\-/]|\.\d)"
+    rf"(?P<date>\d{{4}}-\d\d?-\d\d?|\d{{4}}/\d\d?/\d\d?|\d\d?/\d\d?/\d{{4}}|\d\d?\.\d\d?\.\d{{4}}|{_DAY} {_MONTH},? \d{{4}}|{_MONTH} {_DAY},? \d{{4}})(?:(?=T\d\d)|(?![\w\-/]|\.\d))"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w\-])"
     r"|(?P<card>\d(?:[ \-]?\d){12,18})(?![\w\-]?\d|\w)"
-    r"|(?P<phone>\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?![\w]|[\-.]\d)"
+    rf"|{_PHONE}"
     r"|(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r")"
 )
-_SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|key)\b)(?P<gap>[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{16,128})"
+_SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|key)\b)(?P<gap>[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{16,})"
+_NUMBER = re.compile(_PHONE)
 _WITH_AT = re.compile(f"{_SECRET}|{_EMAIL}|{_OTHERS}")
 _WITHOUT = re.compile(f"{_SECRET}|{_OTHERS}")
 
 
 def pseudonymise(text: str, feistel: Feistel) -> tuple[str, int]:
     """The text with its personal values replaced, and their number."""
-    found = 0
-
-    def new(m: re.Match) -> str:
-        nonlocal found
+    pattern = _WITH_AT if "@" in text else _WITHOUT
+    found, out, done, at = 0, [], 0, 0
+    while m := pattern.search(text, at):
         kind = m.lastgroup
-        value = m.group(kind)
-        out = feistel.of(kind, value)
-        if out == value and kind == "card":  # several numbers in a row
-            parts = re.split(r"( )", value)
-            changed = [feistel.of("card", p) if len(p) > 12 else p for p in parts]
-            found += sum(a != b for a, b in zip(parts, changed, strict=True))
-            return "".join(changed)
-        found += out != value
-        at = m.start(kind) - m.start()
-        return m.group()[:at] + out + m.group()[at + len(value) :]
-
-    return (_WITH_AT if "@" in text else _WITHOUT).sub(new, text), found
+        start, at = m.span(kind)
+        if kind == "card":
+            phone, end = _NUMBER.match(text, start), card_end(m.group(kind))
+            if phone and feistel.phone(phone.group("phone")):  # no card is grouped like a phone
+                kind, at = "phone", phone.end("phone")
+            elif end:
+                at = start + end
+            else:  # another value may start within the run
+                at = start + re.match(r"\d+", text[start:at]).end()
+                continue
+        value = text[start:at]
+        new = (feistel.of if len(value) <= 2 * _BLOCK else feistel._of)(kind, value)
+        if new != value:
+            found += 1
+            out += (text[done:start], new)
+            done = at
+    return "".join((*out, text[done:])), found
 
 
 def _rewriter(key: bytes, back: bool, column: str, counted: bool):

@@ -530,6 +530,27 @@ def test_unvalidated_values_stay(spark, awkward, nothing):
     assert rows(got)[0][1] != "ip 10.20.30.40" and rows(pseudonyms.with_pseudonyms(got, back=True)) == rows(docs)
 
 
+def test_values_beside_others_and_in_other_forms_are_replaced_and_restored():
+    there, back = pseudonyms.Feistel(), pseudonyms.Feistel(back=True)
+    card, secret = "4111 1111 1111 1111", "aB3" * 60
+    for text, gone in [
+        (f"paid {card} 12/27 ok", card), (f"paid {card} 123.", card), (f"no 123 {card}", card), (f"{card} 743 555 3824", "743 555 3824"), ("at 2024-05-06T12:34:56Z", "2024-05-06"),
+        ("born 3/4/1990.", "3/4/1990"), ("on 4 March 1990,", "4 March 1990"), ("on Mar 4th, 1990", "Mar 4th, 1990"), ("call 743 555 3824 now", "743 555 3824"), (f"api_key = {secret}!", secret[128:]), ("secret: " + "0f" * 100, "0f" * 36),
+    ]:
+        said, found = pseudonyms.pseudonymise(text, there)
+        assert found and gone not in said, (text, said)
+        assert pseudonyms.pseudonymise(said, back)[0] == text, (text, said)
+    rest = pseudonyms.pseudonymise(f"{card} 743 555 3824 {card} 12", there)
+    assert rest[1] == 3 and rest[0][:19] == rest[0][33:52]
+    for k in range(3000):  # cards of other lengths and groups come back too
+        body = f"4{k * 7919 % 10**14:014d}"
+        number = body + next(c for c in "0123456789" if pseudonyms.luhn(body + c))
+        text = f"{number[:4]} {number[4:8]} {number[8:12]} {number[12:]} {k % 999:03d}"
+        assert pseudonyms.pseudonymise(pseudonyms.pseudonymise(text, there)[0], back)[0] == text
+    for text in ("4111 1111 1111 1112 12", "on 31/31/1990", "4 Marching 1990", "31 February 1990", "123 555 3824"):
+        assert pseudonyms.pseudonymise(text, there) == (text, 0)
+
+
 # 10: licences
 
 
