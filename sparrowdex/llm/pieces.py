@@ -2,15 +2,17 @@
 
 A text is cut into units at spaces (no piece crosses one), a unit into characters, and candidates (neighbouring symbols whose joined
 text is a piece) are merged best score first, leftmost first. A candidate is skipped for good if a keyed hash of the seed, the
-document's lane, the unit and the candidate's place falls below the dropout rate, so a run can be repeated, documents differ, and any
-segmentation decodes to the same text. Without dropout the pieces are those of the library.
+document's id, the unit, its number in the document and the candidate's place falls below the dropout rate, so a run can be repeated,
+every occurrence of a unit is segmented for itself, and any segmentation decodes to the same text. Without dropout the pieces are those
+of the library.
 
-The agenda runs over all distinct units of a batch at once: each round finds every unit's best candidate with array operations, merges
-it and drops the units that are done. Units longer than LONG_UNIT use a heap instead, with the same result.
+The agenda runs over all units of a chunk at once: each round finds every unit's best candidate with array operations, merges it and
+drops the units that are done. Equal units share a run without dropout; an occurrence that skips none of its merges has its result, and
+only the others run an agenda of their own. Units longer than LONG_UNIT use a heap instead, with the same result.
 
 Cases: a null text has null ids, an empty one none; a literal U+2581 goes to its bytes, so that it isn't decoded as a space; characters
 without a piece go to bytes; repeated rows give repeated rows; an empty table gives no rows; other columns pass through the stage
-untouched, whatever their names (its own are prefixed if they clash). A null doc_id has lane 0.
+untouched, whatever their names (its own are prefixed if they clash). A null doc_id counts as 0.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._text import bounded_batches, chunks, mix, released, spans, utf8
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-DROPOUT, SEED, LANES = 0.1, 17, 8
+DROPOUT, SEED = 0.1, 17
 LONG_UNIT = 48
+#: Bytes of texts, and occurrences of units, that are encoded at once.
+_CHUNK, _SLICE = 1 << 22, 1 << 17
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
 _NONE = np.int32(np.iinfo(np.int32).max)
@@ -124,10 +128,10 @@ def _place(unit_key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np
         return mix(unit_key + (left.astype(np.uint64) << np.uint64(42)) + (middle.astype(np.uint64) << np.uint64(21)) + right.astype(np.uint64))
 
 
-def unit_keys(units: pa.Array, lane: np.ndarray, seed: int) -> np.ndarray:
-    """The key of each unit in its lane: a polynomial hash of its bytes, mixed with seed and lane."""
+def _unit_hashes(units: pa.Array) -> np.ndarray:
+    """A polynomial hash of each unit's bytes."""
     data, off = utf8(units)
-    out = np.zeros(len(lane), np.uint64)
+    out = np.zeros(len(units), np.uint64)
     with np.errstate(over="ignore"):
         for a, b in chunks(np.diff(off)):
             part = data[off[a] : off[b]].astype(np.uint64) + np.uint64(1)
@@ -135,7 +139,17 @@ def unit_keys(units: pa.Array, lane: np.ndarray, seed: int) -> np.ndarray:
             place = np.arange(len(part)) - np.repeat(start, np.diff(off[a : b + 1]))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * mix(place.astype(np.uint64) + np.uint64(0x51ED)))])
             out[a:b] = total[off[a + 1 : b + 1] - off[a]] - total[start]
-        return mix(out + mix(np.uint64(seed) * np.uint64(1_000_003) + lane.astype(np.uint64)))
+    return out
+
+
+def _keyed(hashed: np.ndarray, lane: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(hashed + mix(np.uint64(seed) * np.uint64(1_000_003) + lane.astype(np.uint64)))
+
+
+def unit_keys(units: pa.Array, lane: np.ndarray, seed: int) -> np.ndarray:
+    """The key of each unit in its lane (a number of its occurrence): the hash of its bytes, mixed with seed and lane."""
+    return _keyed(_unit_hashes(units), lane, seed)
 
 
 def encode_by_heap(p: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
@@ -172,8 +186,8 @@ def encode_by_heap(p: Pieces, symbols: list[int], key: int, dropout: float) -> l
     return out
 
 
-def _agenda(p: Pieces, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """All units' agendas at once. sym: symbols, unit: their units, ascending; returns symbols and units that are left."""
+def _agenda(p: Pieces, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All units' agendas at once. sym: symbols, unit: their units, ascending; returns symbols and units that are left. trace: gets (unit, place) of merges."""
     if not len(sym):
         return sym, unit
     first = np.concatenate([[True], unit[1:] != unit[:-1]])
@@ -213,6 +227,8 @@ def _agenda(p: Pieces, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropo
         hit = np.flatnonzero(rank == np.repeat(best, size))
         u = unit[hit]
         hit = hit[np.concatenate([[True], u[1:] != u[:-1]])]  # leftmost of each unit
+        if trace is not None:
+            trace.append((unit[hit], start[hit], start[hit + 1], end[hit + 1]))
         sym[hit], end[hit] = to[hit], end[hit + 1]
         live = np.ones(len(sym), bool)
         live[hit + 1] = False
@@ -231,9 +247,9 @@ def _agenda(p: Pieces, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropo
     return sym[order], unit[order]
 
 
-def encode_units(p: Pieces, units: pa.Array, lane: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all units (their spaces as spaces) and the number of ids of each."""
-    key = unit_keys(units, lane, seed)
+def encode_units(p: Pieces, units: pa.Array, lane: np.ndarray, dropout: float, seed: int, key: np.ndarray | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units (their spaces as spaces) and the number of ids of each. key: keys in place of those of lane and seed."""
+    key = unit_keys(units, lane, seed) if key is None else key
     ids_out, count_out = [], []
     data, off = utf8(units)
     for a, b in chunks(np.diff(off), 1 << 21):
@@ -249,7 +265,10 @@ def encode_units(p: Pieces, units: pa.Array, lane: np.ndarray, dropout: float, s
         sym = np.where(sym < 0, -1 - code, sym).astype(np.int64)
         long_ = size > LONG_UNIT
         short = ~long_[unit]
-        left, owner = _agenda(p, sym[short], unit[short], key[a:b], dropout)
+        merges = None if trace is None else []
+        left, owner = _agenda(p, sym[short], unit[short], key[a:b], dropout, merges)
+        if merges:
+            trace.extend((u + a, i, j, e) for u, i, j, e in merges)
         if long_.any():
             more_sym, more_unit = [left], [owner]
             for u in np.flatnonzero(long_):
@@ -324,55 +343,81 @@ def units_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(pieces_), new
 
 
-def encode_texts(p: Pieces, text: pa.Array, lane: np.ndarray, dropout: float = DROPOUT, seed: int = SEED) -> tuple[pa.Array, pa.Array]:
-    """Lists of ids of the texts, and whether their units decode to what they were."""
-    flat, count = units_of(text)
-    coded = flat.dictionary_encode()
-    row = np.repeat(np.arange(len(count)), count)
-    pair = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (int(lane.max(initial=0)) + 1) + lane[row]
-    which, at = np.unique(pair, return_inverse=True)
-    lanes = int(lane.max(initial=0)) + 1
-    unit = coded.dictionary.take(pa.array(which // lanes))
-    ids, per = encode_units(p, unit, which % lanes, dropout, seed)
+def _decoded(p: Pieces, units: pa.Array, ids: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Whether the ids of each unit decode to it."""
     back, length = decode(p, ids, per)
-    data, off = utf8(unit)
-    same = np.zeros(len(which), bool)
+    data, off = utf8(units)
+    same = np.zeros(len(per), bool)
     if len(back) == len(data):
         same = length == np.diff(off)
         if not (back == data).all():
             wrong = np.unique(np.searchsorted(off, np.flatnonzero(back != data), "right") - 1)
             same[wrong] = False
-    begin = np.cumsum(per) - per
-    off_rows = np.concatenate([[0], np.cumsum(np.bincount(row, weights=per[at], minlength=len(count)).astype(np.int64))])
-    values = ids[spans(begin[at], per[at])]
+    return same
+
+
+def encode_texts(p: Pieces, text: pa.Array, document: np.ndarray, dropout: float = DROPOUT, seed: int = SEED) -> tuple[pa.Array, pa.Array]:
+    """Lists of ids of the texts, and whether their units decode to what they were. document: a number of each text's document."""
+    flat, count = units_of(text)
+    coded = flat.dictionary_encode()
+    row = np.repeat(np.arange(len(count)), count)
+    unit, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    trace: list = []
+    ids, per = encode_units(p, unit, np.zeros(len(unit), np.int64), 0.0, seed, trace=trace)
+    same = _decoded(p, unit, ids, per)[at]
+    begin, size, pool, taken = (np.cumsum(per) - per)[at], per[at], [ids], len(ids)
+    if dropout > 0 and len(at):
+        cut, hashed = _cut(dropout), _unit_hashes(unit)
+        of, left, middle, right = (np.concatenate(c) for c in zip(*trace)) if trace else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(of, kind="stable")
+        left, middle, right = left[order], middle[order], right[order]
+        merges = np.bincount(of, minlength=len(unit))
+        first = np.cumsum(merges) - merges
+        long_ = pc.greater(pc.utf8_length(unit), LONG_UNIT).to_numpy(zero_copy_only=False)
+        number = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        with np.errstate(over="ignore"):
+            occurrence = mix(mix(document.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))[row] + number.astype(np.uint64))
+        for a in range(0, len(at), _SLICE):
+            u = at[a : a + _SLICE]
+            key = _keyed(hashed[u], occurrence[a : a + _SLICE], seed)
+            k, owner = spans(first[u], merges[u]), np.repeat(np.arange(len(u)), merges[u])
+            skips = long_[u]
+            skips[owner[_place(key[owner], left[k], middle[k], right[k]) < cut]] = True
+            own = np.flatnonzero(skips)
+            units = unit.take(pa.array(u[own]))
+            new, new_per = encode_units(p, units, own, dropout, seed, key[own])
+            begin[a + own], size[a + own] = taken + np.cumsum(new_per) - new_per, new_per
+            same[a + own] = _decoded(p, units, new, new_per)
+            pool.append(new)
+            taken += len(new)
+    off_rows = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=len(count)).astype(np.int64))])
+    values = np.concatenate(pool)[spans(begin, size)]
     lossless = np.ones(len(count), bool)
-    lossless[row[~same[at]]] = False
+    lossless[row[~same]] = False
     null = text.is_null().to_numpy(zero_copy_only=False)
     mask = pa.array(null) if null.any() else None
     lists = pa.ListArray.from_arrays(pa.array(off_rows.astype(np.int32)), pa.array(values, pa.int32()), mask=mask)
     return lists, pa.array(lossless, mask=null)
 
 
-def _lane(doc_id: pa.Array, lanes: int) -> np.ndarray:
-    return (mix(pc.fill_null(doc_id.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(lanes)).astype(np.int64)
-
-
-def _encoder(path: str, dropout: float, seed: int, lanes: int):
+def _encoder(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            ids, lossless = encode_texts(p, batch.column(1), _lane(batch.column(0), lanes), dropout, seed)
-            size = pc.list_value_length(ids).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, size, lossless], ["doc_id", "ids", "n_ids", "lossless"])
+            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), _CHUNK):
+                doc_id, text = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                ids, lossless = encode_texts(p, text, pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False), dropout, seed)
+                size = pc.list_value_length(ids).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_id, ids, size, lossless], ["doc_id", "ids", "n_ids", "lossless"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, lanes: int = LANES) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, n_ids, lossless) of every document. lossless: the ids decode to the text."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(released(_encoder(model, dropout, seed, lanes)), "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    return rows.mapInArrow(released(_encoder(model, dropout, seed)), "doc_id long, ids array<int>, n_ids long, lossless boolean")
 
 
 def _decoder(path: str):

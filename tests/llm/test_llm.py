@@ -440,6 +440,20 @@ def test_dropout_varies_by_seed_and_lane_and_is_lossless(spark, model, awkward,
     assert pieces.encode_documents(nothing).count() == 0
 
 
+def test_every_occurrence_is_segmented_for_itself(model):
+    texts = [" ".join(["international"] * 40)] * 30
+    got, same = pieces.encode_texts(model, pa.array(texts), np.arange(30), 0.3, 5)
+    assert all(same.to_pylist()) and len({tuple(x) for x in got.to_pylist()}) == 30
+    # each equals the plain agenda under its own key
+    flat, count = pieces.units_of(pa.array(texts))
+    with np.errstate(over="ignore"):
+        key = pieces.mix(pieces.mix(np.repeat(np.arange(30), 40).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.tile(np.arange(40), 30).astype(np.uint64))
+    ids, per = pieces.encode_units(model, flat, key, 0.3, 5)
+    assert got.flatten().to_pylist() == ids.tolist()
+    ends = np.cumsum(per)[:40]
+    assert len({tuple(ids[e - n : e]) for e, n in zip(ends, per)}) > 8
+
+
 # 8: conditional random field
 
 
