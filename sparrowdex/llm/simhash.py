@@ -87,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def plan_bands(n: int, radius: int = RADIUS, recall: float = RECALL) -> np.ndarray:
     """Bit positions of each band for n distinct fingerprints (bands x width)."""
     width = min(40, max(12, math.ceil(math.log2(max(2, n))) - 8))
-    hit = (1 - radius / BITS) ** width
+    hit = math.comb(BITS - radius, width) / math.comb(BITS, width)  # the bits of a band are drawn without replacement
     bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
     rng = np.random.default_rng(20)
     return np.stack([rng.permutation(BITS)[:width] for _ in range(bands)])

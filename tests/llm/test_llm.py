@@ -387,6 +387,21 @@ def test_near_copies_awkward(spark, awkward, nothing):
     assert simhash.near_copies(nothing).count() == 0 and simhash.drop_near_copies(spark, nothing, "").count() == 0
 
 
+@pytest.mark.parametrize("power", [10, 20, 24, 26, 30])
+def test_bands_find_pairs_at_the_radius_for_every_size(power):
+    bands = simhash.plan_bands(1 << power)
+    hit = math.comb(simhash.BITS - simhash.RADIUS, bands.shape[1]) / math.comb(simhash.BITS, bands.shape[1])
+    assert 1 - (1 - hit) ** len(bands) >= simhash.RECALL
+    rng = np.random.default_rng(13)
+    differs = np.argsort(rng.random((4000, simhash.BITS)), axis=1)[:, : simhash.RADIUS]
+    bits = np.zeros((4000, simhash.BITS), bool)
+    np.put_along_axis(bits, differs, True, axis=1)
+    met = np.zeros(4000, bool)
+    for band in bands:
+        met |= ~bits[:, band].any(axis=1)
+    assert met.mean() > simhash.RECALL - 0.02
+
+
 # 7: SentencePiece
 
 
