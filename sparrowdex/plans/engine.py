@@ -59,6 +59,7 @@ class Engine:
         """(query_id, doc_id, grade, <ONLINE>): the online features of candidates and their lexical grade.
 
         Only candidates' texts meet their queries. Idf and averages are global and arrive as columns.
+        The grade reads whole bodies, the features their first BODY_CHARS characters.
         """
         q = queries.select("query_id", tokens(queries["text"]).alias("q"))
         terms = retrieve.query_terms(queries)
@@ -66,9 +67,9 @@ class Engine:
         avg = index.averages(self.docs)
         idf = terms.join(df, "term").crossJoin(avg.select("n_docs")).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", index.idf(F.col("n_docs"), F.col("df")).alias("i")))).alias("idf"))
         body = F.substring("body", 1, learn.BODY_CHARS)
-        docs = self.docs.select("doc_id", "host", tokens(F.col("title")).alias("title"), tokens(body).alias("body"), tokens(F.col("url")).alias("url"), tokens(F.col("anchor")).alias("anchor"), F.size(tokens(F.col("body"))).alias("n_body"))
+        docs = self.docs.select("doc_id", "host", tokens(F.col("title")).alias("title"), tokens(body).alias("body"), tokens(F.col("url")).alias("url"), tokens(F.col("anchor")).alias("anchor"), tokens(F.col("body")).alias("whole"))
         rows = candidates.select("query_id", "doc_id", "score").join(docs, "doc_id").join(q, "query_id").join(idf, "query_id", "left").crossJoin(avg.select(*[f"avg_{f}" for f in index.FIELDS]))
-        rows = rows.withColumn("grade", learn.grade(F.col("q"), F.col("body"), F.col("title")))
+        rows = rows.withColumn("grade", learn.grade(F.col("q"), F.col("whole"), F.col("title"))).withColumn("n_body", F.size("whole")).drop("whole")
 
         def run(frames):
             import pandas as pd

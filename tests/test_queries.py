@@ -108,6 +108,15 @@ def test_engine_life_cycle(spark, tmp_path):
     assert [len(t.feature) for t in learn.model_of(table)] == [len(t.feature) for t in model]
 
 
+def test_grades_read_whole_bodies(spark):
+    rows = [(0, "u", "h", "title", "filler " * 2000 + "late", ""), (1, "u", "h", "title", "late", "")]
+    e = Engine(spark.createDataFrame(rows, "doc_id long, url string, host string, title string, body string, anchor string"))
+    q = spark.createDataFrame([(1, "late")], "query_id long, text string")
+    got = {r["doc_id"]: r for r in e.features(q, e.candidates(q)).collect()}
+    assert got[0]["grade"] == got[1]["grade"] == 2
+    assert (got[0]["field_hit_body"], got[1]["field_hit_body"]) == (0.0, 1.0)
+
+
 def test_nearest_in_several_passes(spark, sf_dir, monkeypatch):
     v = tables.table(spark, sf_dir, "embeddings")
     q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
