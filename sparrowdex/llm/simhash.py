@@ -10,10 +10,18 @@ groups, and the document with the least doc_id of a group stays.
 The width of a band follows the logarithm of the number of distinct fingerprints, which keeps buckets at some hundreds at most on average;
 the number of bands follows from the width, so that a pair at exactly the radius is found with probability RECALL.
 
-Cases: documents without words (null and empty texts) and rows with a null doc_id are in no group and stay; texts of fewer than
-MIN_WORDS words only match texts with the same words in the same order; a repeated doc_id is one document, which goes only if each of its
-texts is a copy of a document with a lesser doc_id, and of its rows the stage keeps the one with the first text; an empty table gives no
-rows; other columns pass through untouched, whatever their names.
+A bucket of more than HOT rows is cut into blocks of half of that, and every pair of blocks is a bucket of its own, so that no task holds a
+hot bucket whole and none of its pairs is lost. Rows that are linked already are joined after every shift, so a bucket of copies costs
+comparisons but no list of its pairs.
+
+The stage works on rows: of each group the row with the least doc_id stays (of several the one with the least hash of its text). A row is
+known by doc_id and a hash of its text, so texts that share a doc_id are judged each for itself.
+
+Cases: documents without words (null and empty texts) and rows with a null doc_id are in no group and stay, each of them; texts of fewer
+than MIN_WORDS words only match texts with the same words in the same order; in the query a repeated doc_id is one document, which goes only
+if each of its texts is a copy of a document with a lesser doc_id; of rows that are equal in doc_id and text the stage keeps one; an empty
+table gives no rows; other columns pass through untouched, whatever their names. A band takes at most MAX_WIDTH bits, which is reached at
+2 ** 48 distinct fingerprints; buckets grow only beyond that.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._text import bounded_batches, checkpointed, chunks, mix, released, utf8, words
@@ -34,6 +42,9 @@ RADIUS = 20
 #: Chance that a pair at the radius shares a bucket.
 RECALL = 0.9
 MIN_WORDS = 8
+#: Most rows of a bucket that one task compares with each other.
+HOT = 8192
+MAX_WIDTH = 40
 #: Planes between two checks for abandoned words.
 GROUP = 32
 #: Bits of a word's hash that vote, below the row's number in a sort key; chunks have fewer than 2 ** 24 rows.
@@ -71,22 +82,26 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig, count = fingerprints(*utf8(batch.column(1)))
+        sig, count = fingerprints(*utf8(batch.column(2)))
         has = pa.array(count > 0)
         sig = sig.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig[:, 0]), pa.array(sig[:, 1])], ["doc_id", "a", "b"]).filter(has)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig[:, 0]), pa.array(sig[:, 1])], ["doc_id", "text_hash", "a", "b"]).filter(has)
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b) of the documents that have words and a doc_id."""
+    """(doc_id, text_hash, a, b) of the rows that have words and a doc_id."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(released(_sign), "doc_id long, a long, b long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs).alias("text_hash"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(released(_sign), "doc_id long, text_hash long, a long, b long")
 
 
 def plan_bands(n: int, radius: int = RADIUS, recall: float = RECALL) -> np.ndarray:
     """Bit positions of each band for n distinct fingerprints (bands x width)."""
-    width = min(40, max(12, math.ceil(math.log2(max(2, n))) - 8))
+    width = min(MAX_WIDTH, max(12, math.ceil(math.log2(max(2, n))) - 8))
     hit = math.comb(BITS - radius, width) / math.comb(BITS, width)  # the bits of a band are drawn without replacement
     bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
     rng = np.random.default_rng(20)
@@ -163,8 +178,8 @@ def _within(number: list[np.ndarray], most: int) -> np.ndarray:
     return below | equal
 
 
-def close_pairs(ab: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows in the same bucket within the radius, as row numbers. Rows are sorted by bucket."""
+def close_pairs(ab: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows in the same bucket within the radius, as row numbers, shift by shift. Rows are sorted by bucket."""
     n = len(ab)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, n)).repeat(np.diff(np.append(starts, n)))
@@ -173,7 +188,7 @@ def close_pairs(ab: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tup
     keep = size > 1
     ids, size, place = ids[keep], size[keep], place[keep]
     planes = _planes(_bits(ab[ids])) if len(ids) else None
-    left, right, d = [], [], 1
+    d = 1
     while len(ids):
         alive = size > d
         if alive.sum() * 2 <= len(ids):
@@ -198,16 +213,12 @@ def close_pairs(ab: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tup
             lanes = np.unpackbits(near.view(np.uint8), bitorder="little").reshape(-1, 64)
             w, b = np.nonzero(lanes)
             i = at[w] * 64 + b
-            left.append(ids[i])
-            right.append(ids[i + d])
+            yield ids[i], ids[i + d]
         d += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Least row of each row's component."""
-    root = np.arange(n)
+def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """root, the least row of each row's component, after the pairs are joined."""
     while True:
         before = root.copy()
         low = np.minimum(root[left], root[right])
@@ -218,6 +229,16 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+def forest(ab: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The least row that each row is connected with by close pairs within its bucket."""
+    root = np.arange(len(ab))
+    for left, right in close_pairs(ab, bucket, radius):
+        apart = root[left] != root[right]
+        if apart.any():
+            root = _joined(root, left[apart], right[apart])
+    return root
+
+
 def _band_rows(bands: np.ndarray):
     power = (1 << np.arange(bands.shape[1], dtype=np.int64))[::-1].copy()
 
@@ -237,34 +258,24 @@ def _band_rows(bands: np.ndarray):
 def _edges(radius: int):
     def of(table: pa.Table) -> pa.RecordBatch:
         key, ids, a, b = (table.column(k).to_numpy() for k in range(4))
-        left, right = close_pairs(np.stack([a, b], 1), key, radius)
-        touched = np.unique(np.concatenate([left, right]))
-        root = _roots(len(touched), np.searchsorted(touched, left), np.searchsorted(touched, right))
-        x, y = ids[touched], ids[touched[root]]
-        other = x != y
-        return pa.RecordBatch.from_arrays([pa.array(x[other]), pa.array(y[other])], ["u", "v"])
+        root = forest(np.stack([a, b], 1), key, radius)
+        other = np.flatnonzero(root != np.arange(len(root)))
+        x, y = ids[other], ids[root[other]]
+        apart = x != y
+        return pa.RecordBatch.from_arrays([pa.array(x[apart]), pa.array(y[apart])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             held.append(batch)
-            rows += batch.num_rows
-            if rows < 1 << 16:
+            if sum(x.num_rows for x in held) < 1 << 16:
                 continue
-            key = batch.column(0).to_numpy()
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if not cut and all(x.column(0)[-1].as_py() == key[-1] for x in held[-2:]) and held[0].column(0)[0].as_py() == key[-1]:
-                continue
-            table = pa.Table.from_batches(held)
-            every = table.column(0).to_numpy()
-            cut = int(np.searchsorted(every, every[-1]))
             if cut:
                 yield of(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-            rows = table.num_rows - cut
+            held = table.slice(cut).to_batches()
         if held:
             yield of(pa.Table.from_batches(held))
 
@@ -289,35 +300,59 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, duplicate_of, group_size) of the documents that go: duplicate_of is the one of their group that stays."""
+def _cooled(bands: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, id, a, b) of buckets of at most hot rows: a larger one becomes a bucket for each pair of its blocks."""
+    crowded = bands.groupBy("key").count().where(F.col("count") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / (hot // 2)).cast("long").alias("blocks"))
+    crowded = checkpointed(crowded)
+    if crowded.isEmpty():
+        return bands
+    marked = bands.join(crowded, F.col("key") == F.col("hot_key"), "left")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    # a row of block i belongs to the pairs (i, j) and (j, i) of blocks; a lone key is the bucket's own
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
+    own = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)
+    return marked.select(F.explode(own).alias("key"), "id", "a", "b")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Rows with words as (doc_id, text_hash, a, b), and (a, b, top, root): the group of each fingerprint, and the row of it that stays,
+    which is the one with the least (doc_id, text_hash)."""
     sig = checkpointed(signatures(docs))
-    one = checkpointed(sig.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("n")))
-    n = one.count()
-    bands = one.select("id", "a", "b").mapInArrow(released(_band_rows(plan_bands(n, radius, recall))), "key long, id long, a long, b long")
-    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(released(_edges(radius)), "u long, v long")
-    root = components(edges)
-    grouped = one.join(root, one["id"] == root["u"], "left").select("a", "b", "n", F.coalesce("root", "id").alias("root"))
-    sizes = grouped.groupBy("root").agg(F.sum("n").alias("group_size")).where("group_size > 1")
-    rows = sig.distinct().join(grouped.drop("n"), ["a", "b"]).join(sizes, "root")
-    gone = rows.groupBy("doc_id").agg(F.max("root").alias("duplicate_of"), F.min(F.col("root") != F.col("doc_id")).alias("gone"), F.max("group_size").alias("group_size"))
-    every = sig.groupBy("doc_id").agg(F.countDistinct("a", "b").alias("texts"))
-    kinds = rows.groupBy("doc_id").agg(F.count("*").alias("found"))
-    whole = every.where("texts > 1").join(kinds, "doc_id").where("texts > found").select("doc_id")  # has a text that is no copy
-    return gone.where("gone").join(whole, "doc_id", "left_anti").select("doc_id", "duplicate_of", "group_size")
+    # a node is a number of the fingerprint, not a doc_id, for a doc_id may have several
+    one = checkpointed(sig.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash")).alias("root")).withColumn("node", F.monotonically_increasing_id()))
+    bands = one.select(F.col("node").alias("id"), "a", "b").mapInArrow(released(_band_rows(plan_bands(one.count(), radius, recall))), "key long, id long, a long, b long")
+    edges = _cooled(bands, hot).repartition("key").sortWithinPartitions("key").mapInArrow(released(_edges(radius)), "u long, v long")
+    tops = components(edges).withColumnsRenamed({"u": "node", "root": "top"})
+    joined = one.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    least = joined.groupBy("top").agg(F.min("root").alias("root"))
+    return sig, joined.drop("root").join(least, "top").select("a", "b", "top", "root")
+
+
+def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, hot: int = HOT) -> DataFrame:
+    """(doc_id, duplicate_of, group_size) of the documents that go: duplicate_of is the one of their group that stays."""
+    sig, groups = grouped(docs, radius, recall, hot)
+    rows = sig.select("doc_id", "a", "b").distinct().join(groups.select("a", "b", "top", F.col("root.doc_id").alias("first")), ["a", "b"])
+    rows = rows.select("doc_id", "top", "first").distinct()
+    sizes = rows.groupBy("top").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    # a document goes if each of its texts is a copy of a document with a lesser doc_id
+    gone = rows.join(sizes, "top", "left").groupBy("doc_id").agg(F.max("first").alias("duplicate_of"), F.max("group_size").alias("group_size"))
+    return gone.where(F.col("duplicate_of") < F.col("doc_id")).select("doc_id", "duplicate_of", "group_size")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the pipeline: one document of each group stays."""
-    gone = near_copies(docs).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = docs.where(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("__again")).count().where("count > 1").limit(1).count()
-    if not again:
-        return kept
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(kept["doc_id"]).orderBy(kept["text"])
-    return kept.withColumn("__row", F.row_number().over(order)).where((F.col("__row") == 1) | kept["doc_id"].isNull()).drop("__row")
+    """Stage of the pipeline: one row of each group stays."""
+    sig, groups = grouped(docs)
+    rows = sig.join(groups.select("a", "b", "root"), ["a", "b"]).groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))
+    rows = checkpointed(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.struct("doc_id", "text_hash") == F.col("root")).alias("stays"), "times"))
+    same = (docs["doc_id"] == F.col("__id")) & (_text_hash(docs) == F.col("__hash"))
+    again = rows.where("stays and times > 1").select("__id", "__hash")
+    if again.isEmpty():
+        return docs.join(rows.where("not stays").select("__id", "__hash"), same, "left_anti")
+    # of rows that are equal in doc_id and text one stays; each task keeps one of them before the shuffle
+    kept = docs.join(rows.where("not stays or times > 1").select("__id", "__hash"), same, "left_anti")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    once = docs.join(again, same, "left_semi").groupBy(docs["doc_id"].alias("__id"), _text_hash(docs).alias("__hash")).agg(F.first(whole).alias("__whole"))
+    return kept.unionByName(once.select("__whole.*"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

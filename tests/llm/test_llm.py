@@ -329,10 +329,22 @@ def test_bit_sliced_pairs_equal_brute_force():
     ab = np.concatenate([base ^ np.where(rng.random((40, 2)) < 0.5, 1 << rng.integers(0, 62, (40, 2)), 0) for _ in range(6)] + [rng.integers(0, 1 << 62, (100, 2))])
     bucket = np.sort(np.concatenate([rng.integers(0, 5, 240), np.full(100, 9)]))
     for radius in (0, 3, 20, 64):
-        left, right = simhash.close_pairs(ab, bucket, radius)
+        left, right = (np.concatenate(x) for x in zip(*simhash.close_pairs(ab, bucket, radius)))
         bits = simhash._bits(ab)
         want = {(i, j) for i in range(len(ab)) for j in range(i + 1, len(ab)) if bucket[i] == bucket[j] and (bits[i] != bits[j]).sum() <= radius}
         assert set(zip(left.tolist(), right.tolist())) == want and len(left) == len(want)
+        root = list(range(len(ab)))
+        for _ in ab:
+            for i, j in want:
+                root[i] = root[j] = min(root[i], root[j])
+        assert simhash.forest(ab, bucket, radius).tolist() == root
+
+
+def test_a_bucket_of_copies_makes_no_list_of_pairs():
+    ab = np.random.default_rng(2).integers(0, 1 << 62, (1, 2)).repeat(3000, 0)
+    ab[:, 0] ^= np.arange(3000)
+    root = simhash.forest(ab, np.zeros(3000, np.int64))
+    assert (root == 0).all()
 
 
 def test_fingerprint_is_the_majority_of_distinct_words():
@@ -387,6 +399,25 @@ def test_near_copies_awkward(spark, awkward, nothing):
     assert simhash.near_copies(nothing).count() == 0 and simhash.drop_near_copies(spark, nothing, "").count() == 0
 
 
+def test_texts_that_share_a_doc_id_are_judged_each_for_itself(spark):
+    a, b, c = "a text of its own with more than eight words", "the quick brown fox jumps over a lazy dog again", "x y z"
+    texts = [(5, None), (5, a), (6, c), (6, b), (7, b), (7, c), (8, b), (8, "nothing in common with any of those other lines at all, friends"), (9, "!!"), (9, "!!"), (5, a), (5, a), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", None, None, 1, 0.5, True, 7, 8) for k, t in texts], DOCS)
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in simhash.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted([("5", "None"), ("5", a), ("6", c), ("6", b), ("8", "nothing in common with any of those other lines at all, friends"), ("9", "!!"), ("9", "!!"), ("None", a)])
+    assert rows(simhash.near_copies(docs)) == [(7, 6, 3)]
+
+
+def test_hot_buckets_lose_no_pair(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        w = prose(rng, 60).split()
+        texts += [" ".join(x if rng.random() > 0.04 else rng.choice(WORDS) for x in w) for _ in range(4)]
+    docs = docs_of(spark, texts)
+    assert rows(simhash.near_copies(docs, hot=4)) == rows(simhash.near_copies(docs)) != []
+
+
 @pytest.mark.parametrize("power", [10, 20, 24, 26, 30])
 def test_bands_find_pairs_at_the_radius_for_every_size(power):
     bands = simhash.plan_bands(1 << power)
