@@ -7,11 +7,14 @@ is dropped before any posting is read (for all passages of a batch at once), the
 maxima, and score what is left. A hit counts if enough of the question's and of the answer's word n-grams occur around the passage. The answer
 is an item's last sentence; if it has only one, its last quarter of words.
 
-The index is built on the driver from at most SHARD_WORDS words of items at a time; a larger benchmark makes several passes, with the document
-frequencies and lengths of all items in each.
+The index is built on the driver from at most SHARD_WORDS words of items at a time, which take about 100 bytes each, so that a worker holds
+100 MB at most; a larger benchmark makes several passes, with the document frequencies and lengths of all items in each.
+
+Items of fewer than MIN_WORDS words say too little for shares of a score: they count where all their words stand in a row, with a share and
+overlaps of 1.
 
 Cases: null or empty texts match nothing; rows with a null doc_id are scanned and reported with a null doc_id, and their rows stay in
-the pipeline only if they don't match; items without an item_id or of fewer than MIN_WORDS words are not indexed; items with the same
+the pipeline only if they don't match; items without an item_id or without words match nothing; items with the same
 text are all reported; a repeated doc_id is reported once with its best match; an empty benchmark or an empty table gives no rows; other
 columns pass through the stage untouched, whatever their names.
 """
@@ -33,7 +36,8 @@ K1, B = 1.2, 0.75
 SHARE, QUESTION, ANSWER = 0.5, 0.5, 0.5
 MIN_WORDS = 4
 BLOCK = 8
-SHARD_WORDS = 5_000_000
+#: Most words of items in one index.
+SHARD_WORDS = 1_000_000
 _NO_ITEM = 1 << 60
 
 
@@ -55,10 +59,26 @@ def _grams(hashed: np.ndarray, k: int) -> np.ndarray:
     return np.unique(rolled(hashed, np.zeros(len(hashed), np.int64), k)[0]) if k else hashed[:0]
 
 
+def _item(cursor: list) -> int:
+    return cursor[0]
+
+
 class Index:
     """Postings with block maxima. Weights are shares of the threshold: items whose weights sum to 1 are retrieved."""
 
     def __init__(self, items: list[tuple[int, str]], n_items: int, mean_words: float, frequency: dict[int, int] | None = None, share: float = SHARE):
+        """n_items and mean_words: of all items of at least MIN_WORDS words. frequency: of the hashed words, if items are only some of them."""
+        self.short: list[tuple[int, HashIndex, list[list[int]]]] = []
+        runs: dict[int, dict[int, list[int]]] = {}
+        hashed, row = _words_of([t for _, t in items])
+        count = np.bincount(row, minlength=len(items))
+        begin = np.cumsum(count) - count
+        for k in np.flatnonzero((count > 0) & (count < MIN_WORDS)).tolist():
+            own = hashed[begin[k] : begin[k] + count[k]]
+            runs.setdefault(len(own), {}).setdefault(int(rolled(own, np.zeros(len(own), np.int64), len(own))[0][0]), []).append(items[k][0])
+        for k, found in sorted(runs.items()):
+            self.short.append((k, HashIndex(np.array(list(found), np.uint64)), list(found.values())))
+        items = [x for x, c in zip(items, count, strict=True) if c >= MIN_WORDS]
         hashed, row = _words_of([t for _, t in items])
         size = np.bincount(row, minlength=len(items))
         self.item_id = np.array([i for i, _ in items], np.int64)
@@ -100,19 +120,21 @@ class Index:
         """All items whose weights over the terms sum to at least 1: block-max WAND with a fixed threshold."""
         at, end = self.start[terms].tolist(), self.start[terms + 1].tolist()
         most = self.most[terms].tolist()
-        item, weight, block_max, block_end = self._lists
-        cursors = [[item[a], a, e, m] for a, e, m in zip(at, end, most, strict=True)]
+        # a cursor: its item, its place, the number of its postings, the term's bound, and items, weights, block maxima and ends
+        cursors = [[0, 0, e - a, m, *(x[a:e].tolist() for x in (self.post_item, self.weight, self.block_max, self.block_end))] for a, e, m in zip(at, end, most, strict=True)]
+        for c in cursors:
+            c[0] = c[4][0]
         out = []
 
         def advance(c: list, to: int) -> None:
-            a, e = c[1], c[2]
+            a, e, item = c[1], c[2], c[4]
             while a < e and item[a] < to:
                 a += 1
             c[1] = a
             c[0] = item[a] if a < e else _NO_ITEM
 
         while True:
-            cursors.sort()
+            cursors.sort(key=_item)
             bound = 0.0
             pivot = -1
             for k, c in enumerate(cursors):
@@ -130,11 +152,10 @@ class Index:
             bound, skip = 0.0, _NO_ITEM
             for c in cursors[: pivot + 1]:
                 advance_to = c[1]
-                while advance_to < c[2] and block_end[advance_to] <= target:  # shallow move to the block of the target
+                while advance_to < c[2] and c[7][advance_to] <= target:  # shallow move to the block of the target
                     advance_to += 1
-                if advance_to < c[2]:
-                    if item[advance_to] // BLOCK == target // BLOCK:
-                        bound += block_max[advance_to]
+                if advance_to < c[2] and c[4][advance_to] // BLOCK == target // BLOCK:
+                    bound += c[6][advance_to]
             skip = (target // BLOCK + 1) * BLOCK
             if bound < 1 - 1e-9:
                 # no item of this block can be among the first cursors alone; others may join at the next cursor's item
@@ -147,20 +168,11 @@ class Index:
             for c in cursors[: pivot + 1]:
                 advance(c, target)
                 if c[0] == target:
-                    total += weight[c[1]]
+                    total += c[5][c[1]]
                     advance(c, target + 1)
             if total >= 1 - 1e-9:
                 out.append((target, total))
 
-    @property
-    def _lists(self) -> tuple[list, list, list, list]:
-        if not hasattr(self, "_as_lists"):
-            self._as_lists = (self.post_item.tolist(), self.weight.tolist(), self.block_max.tolist(), self.block_end.tolist())
-        return self._as_lists
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_as_lists"}
-
     def passages(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word and end of the passages of rows with the given numbers of words."""
         step = max(1, self.window // 2)
@@ -171,7 +183,16 @@ class Index:
         return row, first, np.minimum(first + self.window, base + size[row])
 
     def matches(self, hashed: np.ndarray, row: np.ndarray, rows: int) -> Iterator[tuple[int, int, float, float, float]]:
-        """(row, item, share, question overlap, answer overlap) of the confirmed hits, once for each row and item."""
+        """(row, item_id, share, question overlap, answer overlap) of the confirmed hits, once for each row and item."""
+        for k, runs, ids in self.short:
+            gram, at = rolled(hashed, row, k)
+            which = runs.find(gram)
+            hit = np.flatnonzero(which >= 0)
+            for r, g in sorted(set(zip(row[at[hit]].tolist(), which[hit].tolist(), strict=True))):
+                for item_id in ids[g]:
+                    yield r, item_id, 1.0, 1.0, 1.0
+        if not len(self.most):
+            return
         term = self.terms.find(hashed)
         bound = np.where(term >= 0, self.most[np.maximum(term, 0)], 0.0)
         total = np.concatenate([[0.0], np.cumsum(bound)])
@@ -210,7 +231,7 @@ class Index:
                     old = best.setdefault((r, item), [0.0, 0.0, 0.0])
                     best[r, item] = [max(x, y) for x, y in zip(old, (score * self.share, q, s), strict=True)]
         for (r, item), (score, q, s) in best.items():
-            yield r, item, score, q, s
+            yield r, int(self.item_id[item]), score, q, s
 
     def _overlaps(self, item: int, around: np.ndarray) -> tuple[float, float]:
         out = []
@@ -236,7 +257,7 @@ def _finder(index: Index):
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             columns = list(zip(*found, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(index.item_id[list(columns[0])] if found else [], pa.int64()), *(pa.array(np.round(np.array(c, float), 6), pa.float64()) for c in columns[1:])],
+                [ids, pa.array(columns[0], pa.int64()), *(pa.array(np.round(np.array(c, float), 6), pa.float64()) for c in columns[1:])],
                 ["doc_id", "item_id", "share", "question_overlap", "answer_overlap"],
             )
 
@@ -258,21 +279,21 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS, share: float = SHARE) -> Iterator[Index]:
     """Indexes of the benchmark's items, one at a time."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    sized = items.mapInArrow(released(_item_words), "item_id long, term long, size long").where(F.col("size") >= MIN_WORDS)
-    n, total = sized.select("item_id", "size").distinct().agg(F.count("*"), F.sum("size")).first()
-    if not n:
+    worded = items.mapInArrow(released(_item_words), "item_id long, term long, size long")
+    sized = worded.where(F.col("size") >= MIN_WORDS)
+    every, whole, n, total = worded.select("item_id", "size").distinct().agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") >= MIN_WORDS), F.sum(F.when(F.col("size") >= MIN_WORDS, F.col("size")))).first()
+    if not every:
         return
-    shards = -(-total // shard_words)
+    shards = -(-whole // shard_words)
     for k in range(shards):
         mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
         few = [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()]
-        few = [x for x in few if len(_words_of([x[1]])[0]) >= MIN_WORDS]
         frequency = None
         if shards > 1:
             terms = sized.join(mine.select("item_id"), "item_id", "left_semi").select("term").distinct()
             frequency = dict(sized.join(terms, "term").groupBy("term").count().collect())
         if few:
-            yield Index(few, n, total / n, frequency, share)
+            yield Index(few, n, (total or 0) / max(n, 1), frequency, share)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS, share: float = SHARE) -> DataFrame:
