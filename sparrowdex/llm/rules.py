@@ -2,8 +2,9 @@
 
 Rules are conjunctions of thresholds on document statistics. Each is grown on two thirds of the labelled documents by FOIL gain, pruned
 on the rest by (p - n) / (p + n), and kept if it is precise enough there; the documents it covers are set aside and the next rule is
-learned. The fit sees at most MAX_LABELLED documents (those with the smallest hashes of doc_id), the only bound here: statistics and
-decisions cover all documents.
+learned, until no rule is precise enough. Cuts are the midpoints between all neighbouring values that occur, and neither rules nor
+conditions are limited in number. The fit sees at most MAX_LABELLED documents (those with the smallest hashes of doc_id), the only bound
+here: statistics and decisions cover all documents.
 
 Cases: a null or empty text has all statistics 0 and is judged by the rules like any other; null doc_id is judged but never labelled;
 repeated labels of a document count once, and contradicting ones as good; without labels, or without bad ones, the list is empty and
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 20_000
 #: Least precision of a rule on the pruning third.
 MIN_PRECISION = 0.9
-MAX_RULES, MAX_CONDITIONS, CUTS = 16, 4, 64
 
 STATS = ("chars", "words", "upper", "digit", "symbol", "pipe", "bang", "word_len", "line_len", "repeated", "echo")
 
@@ -79,14 +79,13 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
 
 def _cuts(v: np.ndarray) -> np.ndarray:
     u = np.unique(v)
-    mid = (u[1:] + u[:-1]) / 2
-    return mid if len(mid) <= CUTS else np.unique(np.quantile(mid, np.linspace(0, 1, CUTS)))
+    return (u[1:] + u[:-1]) / 2
 
 
 def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     rule: list[Condition] = []
     inside = np.ones(len(x), bool)
-    while len(rule) < MAX_CONDITIONS:
+    while True:
         p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
         if not p0 or not n0:
             break
@@ -124,7 +123,7 @@ def learn(x: np.ndarray, bad: np.ndarray, held: np.ndarray) -> list[Rule]:
     """The ordered rules for bad documents. held: rows of the pruning third."""
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    while len(rules) < MAX_RULES and (left & bad & ~held).any():
+    while (left & bad & ~held).any():
         grown = left & ~held
         rule = _grow(x[grown], bad[grown])
         if not rule:
@@ -168,12 +167,16 @@ def decision(rules: list[Rule], stats: dict[str, Column]) -> Column:
     return F.lit(None).cast("int") if out is None else out.cast("int")
 
 
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of the pipeline: the documents that no rule rejects."""
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    stats = statistics(docs["text"])
-    return docs.where(decision(rules, stats).isNull())
+    if not rules:
+        return docs
+    used = {c.stat for r in rules for c in r}
+    stats = F.struct(*[v.alias(k) for k, v in statistics(docs["text"]).items() if k in used])
+    # a generator of one row: the optimizer can't copy a statistic into each condition that reads it
+    once = docs.select(*[docs[c] for c in docs.columns], F.explode(F.array(stats)).alias("__stats"))
+    return once.where(decision(rules, {k: F.col(f"__stats.{k}") for k in used}).isNull()).drop("__stats")
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
