@@ -1,8 +1,10 @@
 """Token counts through a cache keyed by the digests of normalised content and of the tokenizer's version.
 
-Digests are made beside the scan; only they, not the texts, meet the cache. The texts of digests that it lacks are encoded once each and
-their counts appended to it as one more set of Parquet files, which a lost executor or a second writer can't spoil: a digest that is
-stored twice has the same count, and reading takes one of them.
+Digests are made beside the scan; only they, not the texts, meet the cache. A digest that the cache lacks and that occurs once is encoded
+where its text is read; only texts of digests that occur again are shuffled, after each task has kept one of each, so every distinct miss is
+encoded once. (If more than BROADCAST_DIGESTS digests are known or occur again, all misses are shuffled: the result is the same.) Counts are
+appended to the cache as one more set of Parquet files, which a lost executor or a second writer can't spoil: a digest that is stored twice
+has the same count, and reading takes one of them.
 
 Counts are of the normalised text: line ends become \\n and white space at the end goes.
 
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +59,15 @@ def count_text(text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> int
 
 
 def _counter(path: str, pattern: str):
+    """(digest, n_tokens, text) of (digest, n_tokens, text, later): texts are counted, but those for later kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path, pattern).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            digest, known, text, later = batch.columns
+            counts = [n if t is None or wait else len(encode(t)) for n, t, wait in zip(known.to_pylist(), text.to_pylist(), later.to_pylist(), strict=True)]
+            kept = pc.if_else(later, text, pa.scalar(None, text.type))
+            yield pa.RecordBatch.from_arrays([digest, pa.array(counts, pa.int64()), kept], ["digest", "n_tokens", "text"])
 
     return run
 
@@ -90,15 +97,23 @@ def token_counts(docs: DataFrame, cache: str, path: str = VOCABULARY, pattern: s
     text = normalised(docs["text"].cast("string"))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     keyed = checkpointed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest.alias("digest")))
-    wanted = keyed.where("digest is not null").select("digest").distinct()
-    empty = not _exists(spark, cache)
-    misses = wanted if empty else checkpointed(wanted.join(stored(spark, cache, version), "digest", "left_anti"))
-    n = misses.count()
+    wanted = keyed.where("digest is not null").groupBy("digest").agg((F.count("*") > 1).alias("later"))
+    held = stored(spark, cache, version).select("digest", F.lit(True).alias("known"))
+    # digests that aren't encoded where they are read: known ones, and those that occur again
+    special = checkpointed(wanted.join(held, "digest", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+    n, n_special = special.agg(F.count_if(~F.col("known")), F.count_if(F.col("known") | F.col("later"))).first()
     if n:
-        texts = docs.select(digest.alias("digest"), text.alias("__text")).where("digest is not null")
-        if not empty:  # an empty cache lacks every digest
-            texts = texts.join(F.broadcast(misses) if n <= BROADCAST_DIGESTS else misses, "digest", "left_semi")
-        new = texts.dropDuplicates(["digest"]).mapInArrow(released(_counter(path, pattern)), "digest binary, n_tokens long")
+        texts = docs.select(digest.alias("digest"), F.lit(None).cast("long").alias("n_tokens"), text.alias("text")).where("digest is not null")
+        encode, kinds = released(_counter(path, pattern)), "digest binary, n_tokens long, text string"
+        if n_special <= BROADCAST_DIGESTS:
+            few = F.broadcast(special.where("known or later"))
+            one = texts.join(few, "digest", "left").where(~F.coalesce("known", F.lit(False)))
+            one = one.select("digest", "n_tokens", "text", F.coalesce("later", F.lit(False)).alias("later")).mapInArrow(encode, kinds)
+        else:
+            few = special.where("not known").select("digest")
+            one = texts.join(F.broadcast(few) if n <= BROADCAST_DIGESTS else few, "digest", "left_semi")
+        once = one.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.first("text", ignorenulls=True).alias("text"))
+        new = once.withColumn("later", F.lit(False)).mapInArrow(encode, kinds).select("digest", "n_tokens")
         new.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     return keyed.join(stored(spark, cache, version), "digest", "left").select("doc_id", F.hex("digest").alias("digest"), "n_tokens")
 
