@@ -7,7 +7,7 @@ that are covered. Of overlapping spans the best covered stays.
 
 The library of templates has a fixed size and is broadcast; a larger one than BROADCAST_GRAMS is joined by shuffle.
 
-Cases: null and empty texts, and texts of fewer than K words, match nothing; rows with a null doc_id are ignored; repeated rows count
+Cases: null and empty texts, and texts of fewer than K words, match nothing, as do templates of fewer; rows with a null doc_id are ignored; repeated rows count
 once each if their texts differ, and as one if not; ties between templates go to the first by name; an empty table gives no rows; other
 columns are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import bounded_batches, chunks, ragged, released, rolled, utf8, words
+from ._text import bounded_batches, checkpointed, chunks, ragged, released, rolled, utf8, words
 
 K = 3
 #: Diagonals at most this far apart are merged.
@@ -91,7 +91,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     each = lambda name: F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h[name], h[name] + (K - 1)))))
     merged = merged.select("doc_id", "template", "size", F.size("hits").alias("votes"), each("at").alias("own"), F.size(each("place")).alias("theirs"))
     merged = merged.select("doc_id", "template", F.array_min("own").cast("long").alias("first_word"), F.array_max("own").cast("long").alias("last_word"), F.col("votes").cast("long").alias("votes"), F.round(F.col("theirs") / F.col("size"), 6).alias("covered"), F.size("own").alias("words"))
-    good = merged.where((F.col("covered") >= COVERED) & (F.col("words") >= DENSE * (F.col("last_word") - F.col("first_word") + 1)))
+    # both sides of the anti-join below: cut, or all documents would be read for each
+    good = checkpointed(merged.where((F.col("covered") >= COVERED) & (F.col("words") >= DENSE * (F.col("last_word") - F.col("first_word") + 1))))
     other = good.select(*[F.col(c).alias(f"o_{c}") for c in good.columns])
     better = (F.struct(F.col("o_covered"), F.col("o_votes")) > F.struct(F.col("covered"), F.col("votes"))) | ((F.col("o_covered") == F.col("covered")) & (F.col("o_votes") == F.col("votes")) & (F.struct("o_template", "o_first_word") < F.struct("template", "first_word")))
     beaten = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("o_first_word") <= F.col("last_word")) & (F.col("first_word") <= F.col("o_last_word")) & better
