@@ -3,7 +3,7 @@
 A value is found by shape, validated (Luhn for cards, mod 97 for IBANs, ranges for phones, SSNs and IPv4 addresses, the calendar for
 dates) and mapped to a number in the mixed radix of its format; the permutation of that range gives another valid value of the same
 shape and length, with its check digits made anew. Equal values get equal pseudonyms in all documents, whatever their separators, and
-whoever has the key can go back. What looks like a number but fails validation stays. Of digits in a row the shortest valid card at a
+whoever has the key can go back. What looks like a number but fails validation stays, as does a dotted number that follows the word version. Of digits in a row the shortest valid card at a
 separator is taken, and the search goes on behind it. Dates with one-digit fields or short names of months stay within that form.
 
 Cases: a null text stays null, an empty one empty; texts without digits or @ aren't touched; documents of any length are scanned whole;
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._text import bounded_batches, released
 
-#: In production the key comes from the caller; this one makes results repeatable.
+#: In production the caller or the setting KEY_SETTING gives the key; this one is known to everybody and makes results repeatable.
 KEY = b"sparrowdex-pseudonyms"
+KEY_SETTING = "spark.sparrowdex.pseudonyms.key"
 ROUNDS = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 
@@ -247,7 +248,7 @@ _PHONE = r"(?P<phone>\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}|\(\d{3}\) ?\d{3}[\-.
 _OTHERS = (
     r"(?<![A-Za-z0-9_.])(?:"
     rf"(?P<date>\d{{4}}-\d\d?-\d\d?|\d{{4}}/\d\d?/\d\d?|\d\d?/\d\d?/\d{{4}}|\d\d?\.\d\d?\.\d{{4}}|{_DAY} {_MONTH},? \d{{4}}|{_MONTH} {_DAY},? \d{{4}})(?:(?=T\d\d)|(?![\w\-/]|\.\d))"
-    r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
+    r"|(?<![Vv]ersion )(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w\-])"
     r"|(?P<card>\d(?:[ \-]?\d){12,18})(?![\w\-]?\d|\w)"
     rf"|{_PHONE}"
@@ -305,9 +306,14 @@ def _rewriter(key: bytes, back: bool, column: str, counted: bool):
     return run
 
 
-def with_pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
-    """docs with the personal values of text replaced (or, with back, restored)."""
+def key_of(spark: SparkSession) -> bytes:
+    return (spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None) or KEY.decode()).encode()
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
+    """docs with the personal values of text replaced (or, with back, restored) under a key, by default the session's."""
     bounded_batches(docs.sparkSession)
+    key = key_of(docs.sparkSession) if key is None else key
     return docs.mapInArrow(released(_rewriter(key, back, "text", False)), docs.schema)
 
 
@@ -320,4 +326,4 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, found) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bounded_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(released(_rewriter(KEY, False, "text", True)), "doc_id long, text string, found long")
+    return docs.select("doc_id", "text").mapInArrow(released(_rewriter(key_of(spark), False, "text", True)), "doc_id long, text string, found long")
