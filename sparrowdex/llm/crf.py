@@ -268,10 +268,10 @@ def _judge(field: Field | None):
     return run
 
 
-def line_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def line_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> DataFrame:
     """(doc_id, quality, n_lines, bad_lines, keep) of every document."""
     bounded_batches(docs.sparkSession)
-    field = train(docs, labels, max_labelled)
+    field = train(docs, labels, max_labelled, max_lines)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(released(_judge(field)), "doc_id long, quality double, n_lines long, bad_lines long, keep boolean")
 

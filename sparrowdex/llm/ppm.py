@@ -14,7 +14,7 @@ of other paths join theirs by shuffle. No path is dropped: CACHED only decides w
 
 Adaptive scores, where a document's own trie grows with every byte, are made by adaptive_bits.
 
-Cases: null and empty texts have 0 bytes, 0 bits and a null rate; a null doc_id belongs to half 0; repeated rows give repeated rows and count
+Cases: before a text stand zero bytes, which a NUL byte in a text can't be told from; null and empty texts have 0 bytes, 0 bits and a null rate; a null doc_id belongs to half 0; repeated rows give repeated rows and count
 each time; an empty table gives no rows; a half without documents predicts evenly; other columns are ignored.
 """
 
