@@ -10,9 +10,12 @@ The agenda runs over all units of a chunk at once: each round finds every unit's
 drops the units that are done. Equal units share a run without dropout; an occurrence that skips none of its merges has its result, and
 only the others run an agenda of their own. Units longer than LONG_UNIT use a heap instead, with the same result.
 
-Cases: a null text has null ids, an empty one none; a literal U+2581 goes to its bytes, so that it isn't decoded as a space; characters
-without a piece go to bytes; repeated rows give repeated rows; an empty table gives no rows; other columns pass through the stage
-untouched, whatever their names (its own are prefixed if they clash). A null doc_id counts as 0.
+Every text's ids are decoded again beside the encoding and compared with it byte by byte (lossless); decode_documents gives the texts back.
+
+Cases: a null text has null ids and a null lossless, an empty one no ids; a literal U+2581 goes to its bytes, so that it isn't decoded as
+a space; characters without a piece go to bytes; null ids decode to a null text, no ids to an empty one; repeated rows give repeated rows;
+an empty table gives no rows; other columns are ignored, whatever their names, and the stage, which is the last, returns none of them. A
+null doc_id counts as 0.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from ._text import bounded_batches, chunks, mix, released, spans, utf8
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED = 0.1, 17
 LONG_UNIT = 48
-#: Bytes of texts, and occurrences of units, that are encoded at once.
+#: Bytes of texts, and occurrences of units, that are encoded at once: what a worker holds beside the model's tables.
 _CHUNK, _SLICE = 1 << 22, 1 << 17
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
@@ -343,28 +346,31 @@ def units_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(pieces_), new
 
 
-def _decoded(p: Pieces, units: pa.Array, ids: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Whether the ids of each unit decode to it."""
-    back, length = decode(p, ids, per)
-    data, off = utf8(units)
-    same = np.zeros(len(per), bool)
-    if len(back) == len(data):
-        same = length == np.diff(off)
-        if not (back == data).all():
-            wrong = np.unique(np.searchsorted(off, np.flatnonzero(back != data), "right") - 1)
-            same[wrong] = False
+def _decodes(p: Pieces, text: pa.Array, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether the ids of each text decode to it."""
+    back, length = decode(p, ids, count)
+    data, off = utf8(text)
+    own, lead = np.diff(off), (count > 0).astype(np.int64)  # encoding adds a space before a text
+    same = length == own + lead
+    begin = np.cumsum(length) - length
+    same[np.flatnonzero(lead)] &= back[begin[lead > 0]] == 32
+    left, right = back[spans((begin + lead)[same], own[same])], data[spans(off[:-1][same], own[same])]
+    wrong = np.flatnonzero(left != right)
+    if len(wrong):
+        kept = np.flatnonzero(same)
+        same[kept[np.unique(np.searchsorted(np.cumsum(own[kept]), wrong, "right"))]] = False
     return same
 
 
 def encode_texts(p: Pieces, text: pa.Array, document: np.ndarray, dropout: float = DROPOUT, seed: int = SEED) -> tuple[pa.Array, pa.Array]:
-    """Lists of ids of the texts, and whether their units decode to what they were. document: a number of each text's document."""
+    """Lists of ids of the texts, and whether they decode to the texts. document: a number of each text's document."""
     flat, count = units_of(text)
     coded = flat.dictionary_encode()
-    row = np.repeat(np.arange(len(count)), count)
-    unit, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del flat
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    unit, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     trace: list = []
     ids, per = encode_units(p, unit, np.zeros(len(unit), np.int64), 0.0, seed, trace=trace)
-    same = _decoded(p, unit, ids, per)[at]
     begin, size, pool, taken = (np.cumsum(per) - per)[at], per[at], [ids], len(ids)
     if dropout > 0 and len(at):
         cut, hashed = _cut(dropout), _unit_hashes(unit)
@@ -387,13 +393,11 @@ def encode_texts(p: Pieces, text: pa.Array, document: np.ndarray, dropout: float
             units = unit.take(pa.array(u[own]))
             new, new_per = encode_units(p, units, own, dropout, seed, key[own])
             begin[a + own], size[a + own] = taken + np.cumsum(new_per) - new_per, new_per
-            same[a + own] = _decoded(p, units, new, new_per)
             pool.append(new)
             taken += len(new)
     off_rows = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=len(count)).astype(np.int64))])
     values = np.concatenate(pool)[spans(begin, size)]
-    lossless = np.ones(len(count), bool)
-    lossless[row[~same]] = False
+    lossless = _decodes(p, text, values, np.diff(off_rows))
     null = text.is_null().to_numpy(zero_copy_only=False)
     mask = pa.array(null) if null.any() else None
     lists = pa.ListArray.from_arrays(pa.array(off_rows.astype(np.int32)), pa.array(values, pa.int32()), mask=mask)
