@@ -144,6 +144,23 @@ def test_leaks_are_found_and_clean_documents_are_not(spark, awkward, nothing):
     assert rows(decontaminate.leaks(docs, bench.limit(0))) == []
 
 
+def test_short_items_count_where_their_words_stand_in_a_row(spark):
+    bench = spark.createDataFrame([(1, "Too short!"), (2, "yes"), (3, "?!"), (4, "too short")], "item_id long, text string")
+    docs = docs_of(spark, ["it is too, short for me", "short too", "Yes", None, "too", "yesterday"])
+    assert rows(decontaminate.leaks(docs, bench)) == [(0, 1, 1.0, 1.0, 1.0), (0, 4, 1.0, 1.0, 1.0), (2, 2, 1.0, 1.0, 1.0)]
+    longer = bench.union(spark.createDataFrame([(5, "alpha beta gamma delta epsilon zeta eta theta")], bench.schema))
+    docs = docs_of(spark, ["say yes to alpha beta gamma delta epsilon zeta eta theta"])
+    assert [r[:2] for r in rows(decontaminate.leaks(docs, longer))] == [(0, 2), (0, 5)]
+
+
+def test_a_large_benchmark_makes_several_passes(spark):
+    rng = random.Random(14)
+    bench = spark.createDataFrame([(k, prose(rng, 20)) for k in range(12)] + [(50, "just two")], "item_id long, text string")
+    texts = [r["text"] for r in bench.collect()]
+    docs = docs_of(spark, [prose(rng, 30) + " " + t + " " + prose(rng, 5) for t in texts])
+    assert rows(decontaminate.leaks(docs, bench, shard_words=60)) == rows(decontaminate.leaks(docs, bench)) != []
+
+
 def test_passage_scores_equal_brute_force():
     rng = random.Random(5)
     items = [(k, prose(rng, rng.randint(8, 30))) for k in range(25)]
@@ -158,7 +175,8 @@ def test_passage_scores_equal_brute_force():
             s = index.weight[(index.post_item == i) & np.isin(index.post_term, known)].sum()
             q, a = index._overlaps(i, hashed[max(0, first - index.window) : end + index.window])
             if s >= 1 - 1e-9 and q >= decontaminate.QUESTION and a >= decontaminate.ANSWER:
-                want[0, i] = max(want.get((0, i), 0), s * index.share)
+                item = int(index.item_id[i])
+                want[0, item] = max(want.get((0, item), 0), s * index.share)
     assert got.keys() == want.keys() and len(want) == 2
     assert all(math.isclose(got[k][0], want[k]) for k in want)
 
@@ -232,12 +250,23 @@ def test_token_counts_and_cache(spark, awkward, nothing, tmp_path, monkeypatch):
     assert tokencache.token_counts(nothing, cache).count() == 0
 
 
-def test_token_cache_appends_only_misses_and_knows_versions(spark, tmp_path):
+def test_token_cache_appends_only_misses_and_knows_versions(spark, tmp_path, monkeypatch):
     cache = str(tmp_path / "cache")
     tokencache.token_counts(docs_of(spark, ["one two", "three"]), cache).count()
     got = rows(tokencache.token_counts(docs_of(spark, ["one two  ", "four five", "four five"]), cache).select("doc_id", "n_tokens"))
     assert got == [(0, 2), (1, 2), (2, 2)]
     assert spark.read.parquet(cache).count() == 3
+    calls = []
+    plain = tokencache._encoding(tokencache.VOCABULARY, tokencache.PATTERN)
+    for bound in (200_000, 0):  # encoded where it is read, or after a shuffle
+        monkeypatch.setattr(tokencache, "BROADCAST_DIGESTS", bound)
+        at, texts = str(tmp_path / f"cache-{bound}"), ["one", "two two", "one", "three", "", "two two\r\n"]
+        tokencache.token_counts(docs_of(spark, texts[:1]), at).count()
+        got = tokencache.token_counts(docs_of(spark, texts), at).collect()
+        calls.append(sorted(tuple(r) for r in got))
+        assert [r["n_tokens"] for r in sorted(got)] == [len(plain.encode_ordinary(x.rstrip())) for x in texts]
+        assert spark.read.parquet(at).count() == 4
+    assert calls[0] == calls[1]
     tokencache.token_counts(docs_of(spark, ["one two"]), cache, pattern=r"\S+|\s+").count()
     assert spark.read.parquet(cache).select("version").distinct().count() == 2
 
@@ -674,3 +703,30 @@ def test_pipeline_stages_take_awkward_rows(spark, awkward, tmp_path, sf_dir):
         out = stage(spark, awkward, sf_dir)
         assert out.columns == awkward.columns, name
         assert out.count() > 0
+
+
+def test_the_key_of_the_session_is_used(spark, sf_dir):
+    docs = docs_of(spark, ["mail a.b@example.com, version 10.2.3.4, host 10.2.3.4"])
+    plain = pseudonyms.mask_documents(spark, docs, sf_dir).first()["text"]
+    spark.conf.set(pseudonyms.KEY_SETTING, "another key")
+    try:
+        other = pseudonyms.mask_documents(spark, docs, sf_dir)
+        assert other.first()["text"] != plain and "version 10.2.3.4" in plain and "host 10.2.3.4" not in plain
+        assert pseudonyms.with_pseudonyms(other, back=True).first()["text"] == docs.first()["text"]
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from sparrowdex.llm._text import shared_root
+
+    def session(master, folder=None):
+        empty = SimpleNamespace(get=lambda *_: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, getConf=lambda: empty))
+
+    assert shared_root(session("local[4]")) == "/tmp/checkpoints" and shared_root(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_root(session(master))
