@@ -1,13 +1,14 @@
 """The corpus pipeline: quality rules, near-deduplication, decontamination, pseudonyms, encoding, each over all that the one before kept.
 
 A stage is written as Parquet in the shared folder and read again as the next one's documents, so lost executors cost at most a stage's tasks.
+What a stage has written is deleted when the next one has read it all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowdex.llm._text import shared_dir
+from sparrowdex.llm._text import remove, shared_dir
 from sparrowdex.llm.decontaminate import drop_leaks
 from sparrowdex.llm.pieces import encode_stage
 from sparrowdex.llm.pseudonyms import mask_documents
@@ -27,9 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
