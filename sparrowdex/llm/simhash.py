@@ -40,7 +40,7 @@ BITS = 128
 #: Most differing bits of near copies.
 RADIUS = 20
 #: Chance that a pair at the radius shares a bucket.
-RECALL = 0.9
+RECALL = 0.99
 MIN_WORDS = 8
 #: Most rows of a bucket that one task compares with each other.
 HOT = 8192
