@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a default only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder named by spark.checkpoint.dir; a default where the session names none, which only a local master may use, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
+    return root or "/tmp/checkpoints"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder, at once on file systems that can."""
+    fs, at = _fs(spark, path)
+    if not fs.rename(at, _fs(spark, to)[1]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df, which survives the loss of executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a cut that nothing will read again."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())

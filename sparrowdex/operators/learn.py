@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evaluate import randomisation
+
+#: Characters of a body that the online features look at; grades and the index read all.
 BODY_CHARS = 10_000
+WEIGHT = {"title": 3.0, "body": 1.0, "url": 1.0, "anchor": 2.0}
+B = {"title": 0.4, "body": 0.75, "url": 0.4, "anchor": 0.5}
 ONLINE = (
     "bm25f_total", "bm25_title", "bm25_body", "bm25_url", "dense_cosine", "term_coverage", "term_coverage_title", "exact_match", "exact_match_title", "ordered_proximity", "unordered_proximity",
     "min_pair_distance", "first_occurrence", "field_hit_title", "field_hit_body", "url_term_match", "url_exact_host", "query_length", "idf_sum", "idf_max", "bm25_anchor",
@@ -57,15 +63,17 @@ def _ordered_span(tokens: list[str], words: list[str]) -> int:
         at = i + 1
 
 
-def online_row(query: list[str], fields: dict[str, list[str]], host: str, idf: dict[str, float], averages: dict[str, float], lengths: dict[str, int], total: float, cosine: float | None, k1: float = 0.9, b: dict[str, float] | None = None) -> list[float]:
-    """The features of ONLINE for one query and document. fields: tokens by field."""
-    b = b or {"title": 0.4, "body": 0.75, "url": 0.4, "anchor": 0.5}
+def online_row(query: list[str], fields: dict[str, list[str]], host: str, idf: dict[str, float], averages: dict[str, float], cosine: float | None, k1: float = 0.9, b: dict[str, float] = B, w: dict[str, float] = WEIGHT) -> list[float]:
+    """The features of ONLINE for one query and document. fields: tokens by field, as far as they are looked at; a term without idf weighs 1."""
     terms = list(dict.fromkeys(query))
     counts = {f: {t: fields[f].count(t) for t in terms} for f in fields}
+    norm = {f: 1 - b[f] + b[f] * len(fields[f]) / averages[f] if averages[f] > 0 else 1.0 for f in fields}
 
     def single(f: str) -> float:
-        norm = 1 - b[f] + b[f] * lengths[f] / averages[f] if averages[f] > 0 else 1.0
-        return sum(idf.get(t, 1.0) * n * (k1 + 1) / (n + k1 * norm) for t, n in counts[f].items() if n)
+        return sum(idf.get(t, 1.0) * n * (k1 + 1) / (n + k1 * norm[f]) for t, n in counts[f].items() if n)
+
+    weighted = {t: sum(w[f] * counts[f][t] / norm[f] for f in fields) for t in terms}
+    total = sum(idf.get(t, 1.0) * x / (k1 + x) for t, x in weighted.items() if x)
 
     body, title = fields["body"], fields["title"]
     wanted = set(terms)
@@ -81,8 +89,8 @@ def online_row(query: list[str], fields: dict[str, list[str]], host: str, idf: d
         total, single("title"), single("body"), single("url"), -1.0 if cosine is None else cosine,
         sum(any(counts[f][t] for f in ("title", "body", "url")) for t in terms) / n, sum(counts["title"][t] > 0 for t in terms) / n,
         float(_has_run(body, query)), float(_has_run(title, query)), 1 / (1 + span) if span else 0.0, 1 / (1 + window) if window else 0.0,
-        1 / (1 + min(gaps)) if gaps else 0.0, 1 / (1 + hits[0][0]) if hits else 0.0, float(sum(counts["title"].values())), float(sum(counts["body"].values())),
-        float(sum(counts["url"][t] > 0 for t in terms)), float(any(t in labels for t in terms)), float(len(query)), sum(weights), max(weights, default=0.0), single("anchor"),
+        1 / (1 + min(gaps)) if gaps else 0.0, 1 / (1 + hits[0][0]) if hits else 0.0, float(sum(counts["title"][t] > 0 for t in terms)), float(sum(counts["body"][t] > 0 for t in terms)),
+        float(sum(counts["url"][t] > 0 for t in terms)), float(any(t in labels for t in terms)), float(len(terms)), sum(weights), max(weights, default=0.0), single("anchor"),
     ]
 
 
@@ -247,3 +255,82 @@ def grouped(rows: DataFrame, size: int = 16) -> DataFrame:
     doc_id is a dense number, so that no total order has to be made by one task.
     """
     return rows.withColumn("query_id", F.floor(F.col("doc_id") / size))
+
+
+def query_file(text: str) -> list[tuple[str, str]]:
+    """(query_id, text) of the lines of a file of queries: an id, a tab and the text, or the text alone, which is numbered by its line. Empty
+    lines and those that begin with # don't count."""
+    out = []
+    for k, line in enumerate(text.splitlines(), 1):
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        name, tab, rest = line.partition("\t")
+        out.append((name.strip(), rest.strip()) if tab else (f"q{k:04d}", line))
+    return out
+
+
+def grade_prompt(query: str, title: str, body: str, most: int = 3) -> str:
+    """What a language model that judges is asked."""
+    return (
+        f"How well does the page answer the query? Reply with one whole number from 0 to {most}: 0 not at all, 1 touches the topic, "
+        f"2 answers in part, {most} answers in full.\n\nQuery: {query}\nTitle: {title}\nText: {body}\nGrade:"
+    )
+
+
+def grade_reply(reply: str, most: int = 3) -> int:
+    """The last whole number of a reply, within 0 and most; a reply without one is an error."""
+    found = re.findall(r"-?\d+", reply)
+    if not found:
+        raise ValueError(f"no grade in {reply!r}")
+    return min(max(int(found[-1]), 0), most)
+
+
+def judged_by(pairs: DataFrame, judge, most: int = 3) -> DataFrame:
+    """(query_id, doc_id, grade) of pairs (query_id, doc_id, query, title, body) by a callable of one's own, as a client of a language model:
+    prompt -> reply. It runs where the pairs are; a reply without a grade ends the job."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            grades = [grade_reply(judge(grade_prompt(q, t, b, most)), most) for q, t, b in zip(f["query"], f["title"], f["body"], strict=True)]
+            yield pd.DataFrame({"query_id": f["query_id"], "doc_id": f["doc_id"], "grade": grades})
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    return pairs.select("query_id", "doc_id", "query", "title", "body").mapInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, grade int")
+
+
+@dataclass
+class Outcome:
+    """What training gained over the order before it on queries that it hasn't seen."""
+
+    trees: list[Tree]
+    trained: float
+    untrained: float
+    p: float
+
+    @property
+    def improved(self) -> bool:
+        return self.trained > self.untrained
+
+
+def ndcg(label: np.ndarray, score: np.ndarray, k: int = 10) -> float:
+    """NDCG of one query's rows; 0 without anything relevant."""
+    gain, disc = 2.0**label - 1, 1 / np.log2(np.arange(2, k + 2))
+    top, best = gain[np.lexsort((np.arange(len(score)), -score))][:k], np.sort(gain)[::-1][:k]
+    ideal = float((best * disc[: len(best)]).sum())
+    return float((top * disc[: len(top)]).sum()) / ideal if ideal else 0.0
+
+
+def bootstrap(x: np.ndarray, label: np.ndarray, query: np.ndarray, before: np.ndarray, share: float = 0.2, **options) -> Outcome:
+    """Trains on some queries' judged rows and compares with the order before on the others. Rows of a query are together; queries are split
+    by a hash, so a query is on one side whole."""
+    train, held = split_queries(list(dict.fromkeys(map(str, query))), share)
+    name = np.array([str(q) for q in query])
+    fit = np.isin(name, train)
+    groups = np.unique(name[fit], return_counts=True)[1] if fit.any() else np.zeros(0, int)
+    order = np.argsort(name[fit], kind="stable")
+    trees = lambdamart(x[fit][order], label[fit][order], groups, **options) if fit.any() else []
+    after = predict(trees, x)
+    scored_ = [(ndcg(label[name == q], after[name == q]), ndcg(label[name == q], before[name == q])) for q in held if (label[name == q] > 0).any()]
+    a, b = (np.array(v) for v in zip(*scored_)) if scored_ else (np.zeros(0), np.zeros(0))
+    return Outcome(trees, float(a.mean()) if len(a) else 0.0, float(b.mean()) if len(b) else 0.0, randomisation(a - b))

@@ -14,8 +14,8 @@ WEIGHT = {"title": 3.0, "body": 1.0, "url": 1.0, "anchor": 2.0}
 B = {"title": 0.4, "body": 0.75, "url": 0.4, "anchor": 0.5}
 K1, ONE, RRF = 0.9, 65536, 60
 L0, L1 = 1000, 200
-#: Most queries in one matrix.
-QUERY_ROWS = 4096
+#: Most queries in one matrix, and vectors in a block that meets one.
+QUERY_ROWS, VECTOR_ROWS = 4096, 50_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -38,12 +38,18 @@ def bm25f_weight(df: Column, n_docs: Column) -> Column:
     return F.round(idf(n_docs, df) * tf / (K1 + tf) * ONE).cast("long")
 
 
-def bm25f(queries: DataFrame, postings: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank) by BM25F, exactly. Postings meet the queries' terms before anything is counted or scored."""
+def posting_weights(held: DataFrame, docs: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, w): the scores of the postings of some terms. statistics: one row of averages, else made of docs."""
+    statistics = averages(docs) if statistics is None else statistics
+    return held.join(frequencies(held), "term").crossJoin(F.broadcast(statistics)).select("term", "doc_id", bm25f_weight(F.col("df"), F.col("n_docs")).alias("w"))
+
+
+def bm25f(queries: DataFrame, postings: DataFrame, docs: DataFrame | None = None, k: int = 10, statistics: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) by BM25F, exactly. Postings meet the queries' terms before anything is counted or scored.
+    statistics: one row of averages (as a saved index has them), else made of docs."""
     terms = query_terms(queries)
     held = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    scored = held.join(frequencies(held), "term").crossJoin(averages(docs)).select("term", "doc_id", bm25f_weight(F.col("df"), F.col("n_docs")).alias("w"))
-    sums = terms.join(scored, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    sums = terms.join(posting_weights(held, docs, statistics), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return top(sums, k)
 
 
@@ -102,18 +108,28 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): the exact nearest vectors by cosine.
 
-    Vectors stay where they are: the queries (query_id, embedding) go to them as a matrix, each batch gives its own k best by a matrix
-    product, and only those are shuffled. More than QUERY_ROWS queries make several passes, so no matrix grows with their number.
+    Vectors stay where they are: up to QUERY_ROWS queries (query_id, embedding) go to them as a matrix, each batch gives its own k best by a
+    matrix product, and only those are shuffled. More queries meet the vectors in blocks: a grid of groups of either side, whose sizes are
+    bounded, so nothing is collected. (Few of the vectors need to be looked at by ann.nearest.)
     """
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toPandas()
+    rows = queries.select("query_id", "embedding").limit(QUERY_ROWS + 1).toPandas().sort_values("query_id", kind="stable")
+    kind = "query_id long, vec_id long, score double"
     if not len(rows):
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
-    found = None
-    for a in range(0, len(rows), QUERY_ROWS):
-        part = rows.iloc[a : a + QUERY_ROWS]
-        one = vectors.select("vec_id", "embedding").mapInPandas(_best(part["query_id"].to_numpy(), _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)), k), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionAll(one)
-    return top(found, k, item="vec_id")
+        return queries.sparkSession.createDataFrame([], f"{kind}, rank long")
+    if len(rows) <= QUERY_ROWS:
+        best = _best(rows["query_id"].to_numpy(), _unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64)), k)
+        return top(vectors.select("vec_id", "embedding").mapInPandas(best, kind), k, item="vec_id")
+    n_q, n_v = (-(-df.count() // size) for df, size in ((queries, QUERY_ROWS), (vectors, VECTOR_ROWS)))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("a"), grid(n_v).alias("b"))
+    v = vectors.select("vec_id", "embedding", grid(n_q).alias("a"), F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).cast("int").alias("b"))
+
+    def met(_key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("query_id", kind="stable")
+        run = _best(x["query_id"].to_numpy(), _unit(np.stack(x["embedding"].to_numpy()).astype(np.float64)), k) if len(x) else lambda _: []
+        return next(iter(run([y])), pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}))
+
+    return top(q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(met, kind), k, item="vec_id")
 
 
 def _best(ids: np.ndarray, q: np.ndarray, k: int):
@@ -135,6 +151,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def static_encoded(postings: DataFrame, vocabulary: DataFrame, dim: int) -> DataFrame:
+    """(doc_id, embedding): the mean of a document's body tokens' vectors in an explicit table (term, vector), unit length; zeros for a
+    document without tokens in it. One sum for each coordinate, made beside the join: no row for each coordinate."""
+    held = postings.where("tf_body > 0").select("doc_id", "term", "tf_body").join(vocabulary, "term", "left")
+    sums = held.groupBy("doc_id").agg(*[F.sum(F.col("tf_body") * F.col("vector")[k].cast("double")).alias(f"x{k}") for k in range(dim)])
+    x = F.array(*[F.coalesce(f"x{k}", F.lit(0.0)) for k in range(dim)])
+    length = F.sqrt(sum((F.coalesce(f"x{k}", F.lit(0.0)) * F.coalesce(f"x{k}", F.lit(0.0)) for k in range(dim)), F.lit(0.0)))
+    return sums.select("doc_id", x.alias("x"), length.alias("n")).select("doc_id", F.when(F.col("n") > 0, F.transform("x", lambda v: v / F.col("n"))).otherwise(F.col("x")).alias("embedding"))
+
+
 def rotated(x: np.ndarray, seed: int = 7) -> np.ndarray:
     """Rows after random signs and a Walsh-Hadamard transform, padded to a power of two of at least 64."""
     d = max(64, 1 << (x.shape[1] - 1).bit_length())

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.text import tokens
 from .graph import components
+from .numbering import numbered
 
-BANDS, NEAR, LEAST_TOKENS = 4, 3, 8
+NEAR, LEAST_TOKENS = 3, 8
 CAP = 16
 
 
@@ -19,34 +29,64 @@ def unique_documents(docs: DataFrame, key: str, date: str, order: str) -> DataFr
     return keyed.unionByName(docs.where(F.col(key).isNull()))
 
 
-def _count_bit(k: int):
-    return lambda s, x: s + F.getbit(x, F.lit(k)).cast("int")
+#: Tokens whose votes are added at once.
+_VOTES = 1 << 17
+
+
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        raw = b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest()[:8] for t in coded.dictionary.to_pylist())
+        signs = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+        at, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), size)
+        votes = np.zeros((batch.num_rows, 64), np.int64)
+        for a in range(0, len(at), _VOTES):
+            mine = row[a : a + _VOTES]
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            votes[mine[first]] += np.add.reduceat(signs[at[a : a + _VOTES]], first, axis=0, dtype=np.int64)
+        sim = np.packbits(votes > 0, axis=1).view(">i8").astype(np.int64).ravel()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sim, pa.int64())], ["doc_id", "sim"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, sim): 64 signed votes of all tokens, for documents of at least LEAST_TOKENS tokens. Counted within a row: no shuffle."""
-    t = docs.select("doc_id", tokens(docs["body"]).alias("t")).where(F.size("t") >= LEAST_TOKENS).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
-    word = F.lit(0).cast("long")
-    for k in range(64):
-        ones = F.aggregate("h", F.lit(0), _count_bit(k))
-        word = word.bitwiseOR(F.when(2 * ones > F.size("h"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(0))
-    return t.select("doc_id", word.alias("sim"))
-
-
-def near_pairs(sims: DataFrame) -> DataFrame:
-    """(src, dst): fingerprints that differ in at most NEAR bits, which then share one of BANDS bands. Equal ones meet as one."""
-    one = sims.groupBy("sim").agg(F.min("doc_id").alias("id"))
-    bands = one.select("id", "sim", F.posexplode(F.array(*[F.shiftrightunsigned("sim", 16 * k).bitwiseAND(0xFFFF) for k in range(BANDS)])).alias("band", "value"))
+    """(doc_id, sim): 64 signed votes of all tokens (the first 8 bytes of their MD5), for documents of at least LEAST_TOKENS tokens.
+    One pass beside the scan: no shuffle."""
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(docs["body"]).alias("t")).where(F.size("t") >= LEAST_TOKENS)
+    return t.mapInArrow(_voted, "doc_id long, sim long")
+
+
+def band_masks(n: int, near: int = NEAR) -> list[int]:
+    """Masks of the bits that two of n fingerprints may share: fingerprints within near bits agree on at least one of them.
+
+    The bits are cut into blocks, of which near at most can differ, so some choice of the others agrees as a whole. More blocks make longer
+    keys; their number grows until a key has about as many values as there are fingerprints, so that buckets stay small at any size.
+    """
+    blocks = near + 1
+    while 64 * (blocks - near) // blocks + 4 < math.log2(max(n, 2)) and blocks < near + 5:
+        blocks += 1
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    block = [((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in range(blocks)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in itertools.combinations(block, blocks - near))]
+
+
+def near_pairs(one: DataFrame, near: int = NEAR) -> DataFrame:
+    """(src, dst): ids of fingerprints (sim, id) that differ in at most near bits, all of them."""
+    masks = band_masks(one.count(), near)
+    bands = one.select("id", "sim", F.posexplode(F.array(*[F.col("sim").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "value"))
     other = bands.withColumnsRenamed({"id": "id2", "sim": "sim2"})
-    close = bands.join(other, ["band", "value"]).where((F.col("id") < F.col("id2")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= NEAR)).select(F.col("id").alias("src"), F.col("id2").alias("dst"))
-    same = sims.join(one, "sim").where("doc_id <> id").select(F.col("id").alias("src"), F.col("doc_id").alias("dst"))
-    return close.union(same).distinct()
+    return bands.join(other, ["band", "value"]).where((F.col("id") < F.col("id2")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= near)).select(F.col("id").alias("src"), F.col("id2").alias("dst")).distinct()
 
 
 def near_clusters(docs: DataFrame) -> DataFrame:
-    """(doc_id, root, size) of the documents that have near-duplicates."""
-    c = components(near_pairs(fingerprints(docs)))
-    return c.select(F.col("id").alias("doc_id"), "root").join(c.groupBy("root").agg(F.count("*").alias("size")), "root").select("doc_id", "root", "size")
+    """(doc_id, root, size) of the documents that have near-duplicates. Equal fingerprints are one node, so copies make no pairs."""
+    sims = cut(fingerprints(docs))
+    one = cut(sims.groupBy("sim").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    tops = components(near_pairs(one.select("sim", "id")))
+    of = one.join(tops, "id", "left").select("sim", "n", F.coalesce("root", "id").alias("root"))
+    sizes = of.groupBy("root").agg(F.sum("n").alias("size")).where("size > 1")
+    return sims.join(of.drop("n"), "sim").join(sizes, "root").select("doc_id", "root", "size")
 
 
 def near_penalty(clusters: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -105,16 +145,18 @@ def impact_bytes(ranked: DataFrame) -> DataFrame:
     return ranked.join(ends, "shard_id").select("id", "shard_id", level.cast("long").alias("impact"))
 
 
-def global_ids(docs: DataFrame, domain: Column) -> DataFrame:
-    """(doc_id, host_rank, seq, global_id): hosts in the order of their reversed domains, documents by url within them.
+def global_ids(docs: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, host_rank, seq, global_id): hosts in the order of their reversed registered domains (domain gives a host's),
+    documents by url within them.
 
     Hosts are far fewer than documents, so their ranks are made from host rows alone; documents are numbered within their host.
     """
-    hosts = docs.select("host", F.array_join(F.reverse(F.split(domain, r"\.")), ".").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    hosts = hosts.withColumn("host_rank", F.row_number().over(Window.orderBy("key", "host")).cast("long") - 1)
+    hosts = docs.groupBy("host").agg(F.count("*").alias("n"))
+    hosts = hosts.withColumn("key", F.array_join(F.reverse(F.split(domain(F.col("host")), r"\.")), "."))
+    hosts = numbered(hosts, "key", "host", name="host_rank")
     bits = hosts.agg(F.ceil(F.log2(F.greatest(F.max("n"), F.lit(1)).cast("double"))).cast("int").alias("bits"))
-    numbered = docs.select("doc_id", "host", "url").withColumn("seq", F.row_number().over(Window.partitionBy("host").orderBy("url", "doc_id")).cast("long") - 1)
-    return numbered.join(hosts.select("host", "host_rank"), "host").crossJoin(bits).select("doc_id", "host_rank", "seq", (F.col("host_rank") * F.pow(F.lit(2.0), F.col("bits")).cast("long") + F.col("seq")).alias("global_id"))
+    placed = docs.select("doc_id", "host", "url").withColumn("seq", F.row_number().over(Window.partitionBy("host").orderBy("url", "doc_id")).cast("long") - 1)
+    return placed.join(hosts.select("host", "host_rank"), "host").crossJoin(bits).select("doc_id", "host_rank", "seq", (F.col("host_rank") * F.pow(F.lit(2.0), F.col("bits")).cast("long") + F.col("seq")).alias("global_id"))
 
 
 #: The matrix's columns in the order that models rely on, with their quantiser.
@@ -144,3 +186,32 @@ def quantised_features(rows: DataFrame, columns: dict[str, str], shard: str = "s
         back = low + (level - zero) * scale
         new[c], new[f"{c}_back"] = level, F.expm1(back) if kind.startswith("log") else back
     return out.select(*[x for x in rows.columns if x not in columns], *[v.alias(k) for k, v in new.items()])
+
+
+def feature_bounds(rows: DataFrame, columns: dict[str, str], shard: str = "shard_id") -> DataFrame:
+    """(shard, column, low, scale, zero, logged): what dequantised() needs to know of each column of each shard, to be stored with the levels."""
+    value = {c: F.log1p(c) if k.startswith("log") else F.col(c).cast("double") for c, k in columns.items() if k != "category"}
+    wide = rows.groupBy(shard).agg(*[x for c, v in value.items() for x in (F.min(v).alias(f"{c}_low"), F.max(v).alias(f"{c}_high"), F.max(F.abs(v)).alias(f"{c}_most"))])
+    each = []
+    for c in value:
+        kind = columns[c]
+        levels = 65535 if kind.endswith("2") else 255
+        span = 2 * F.col(f"{c}_most") if kind == "signed" else F.col(f"{c}_high") - F.col(f"{c}_low")
+        scale = F.when(span > 0, span / levels).otherwise(1.0).cast("float").cast("double")
+        low = F.lit(0.0) if kind == "signed" else F.col(f"{c}_low").cast("float").cast("double")
+        each.append(F.struct(F.lit(c).alias("column"), low.alias("low"), scale.alias("scale"), F.lit(round(levels / 2) if kind == "signed" else 0).cast("long").alias("zero"), F.lit(kind.startswith("log")).alias("logged")))
+    return wide.select(shard, F.explode(F.array(*each)).alias("b")).select(shard, "b.*")
+
+
+def dequantised(levels: DataFrame, bounds: DataFrame, columns: dict[str, str], key: str = "doc_id", shard: str = "shard_id") -> DataFrame:
+    """(key, shard, <columns>) that the levels stand for."""
+    names = [c for c, k in columns.items() if k != "category"]
+    packed = bounds.groupBy(shard).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("low", "scale", "zero")))).alias("__b"))
+    out = levels.join(packed, shard)
+
+    def back(c: str) -> Column:
+        b = F.col("__b")[c]
+        x = b["low"] + (F.col(c) - b["zero"]) * b["scale"]
+        return F.expm1(x) if columns[c].startswith("log") else x
+
+    return out.select(key, shard, *[back(c).alias(c) if c in names else F.col(c).cast("double").alias(c) for c in columns])

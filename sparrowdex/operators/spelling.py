@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import osa_udf
+from ..functions.words import analyse, osa_udf
 
 MIN_DF, MAX_LEN, MAX_EDIT = 2, 24, 2
 KEEP_ABOVE, MARGIN = 2, 10
@@ -49,21 +49,29 @@ def corrections(queries: DataFrame, words: DataFrame) -> DataFrame:
     return out.select("query", action.alias("action"), F.when(changed, F.col("term")).alias("term"), F.when(changed, F.col("dist")).alias("dist"))
 
 
-#: Forms that stand for each other.
-GROUPS = (
-    ("usa", "us", "united states"), ("uk", "united kingdom", "britain"), ("nyc", "new york city"), ("car", "automobile"), ("tv", "television"), ("phone", "telephone"), ("photo", "photograph", "picture"), ("bike", "bicycle"),
-    ("js", "javascript"), ("ai", "artificial intelligence"), ("ml", "machine learning"), ("db", "database"), ("doc", "document"), ("docs", "documentation"), ("movie", "film"), ("cheap", "inexpensive"), ("fix", "repair"), ("buy", "purchase"),
-    ("job", "employment"), ("doctor", "physician"), ("lawyer", "attorney"), ("kids", "children"), ("fast", "quick"), ("big", "large"),
-)
+#: Forms that stand for each other: short forms of names and trades, two spellings of a word, names of programs.
+GROUPS = tuple(
+    tuple(x.strip() for x in g.split("="))
+    for g in (
+        "nyc=new york city|usa=united states of america|uk=united kingdom|eu=european union|"
+        "ml=machine learning|ai=artificial intelligence|nlp=natural language processing|api=application programming interface|"
+        "cpu=central processing unit|gpu=graphics processing unit|db=database|os=operating system|oss=open source software|"
+        "color=colour|gray=grey|center=centre|catalog=catalogue|organize=organise|analyze=analyse|license=licence|"
+        "js=javascript|ts=typescript|k8s=kubernetes|postgres=postgresql"
+    ).split("|")
+)
 
 
-def expansion(groups=GROUPS) -> dict[str, list[str]]:
-    """Other forms of every form of one word."""
+def expansion(groups=GROUPS, analyzer=analyse, split: bool = True) -> dict[str, list[str]]:
+    """Other forms of every form of one word. A form of several words is its words, each a term that postings can hold; with split=False it
+    is one term, which none equals."""
     out: dict[str, set[str]] = {}
     for g in groups:
-        for key in g:
-            if " " not in key:
-                out.setdefault(key, set()).update(x for x in g if x != key)
+        forms = [tuple(analyzer(x)) for x in g]
+        for key in forms:
+            if len(key) == 1:
+                others = (x for x in forms if x != key)
+                out.setdefault(key[0], set()).update(w for x in others for w in (x if split else (" ".join(x),)) if w != key[0])
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 
@@ -71,5 +79,5 @@ def expanded(terms: DataFrame, groups=GROUPS) -> DataFrame:
     """(query_id, term, base): the terms of queries and their other forms."""
     pairs = [(k, x) for k, v in expansion(groups).items() for x in v]
     table = terms.sparkSession.createDataFrame(pairs, "base string, alt string")
-    more = terms.select("query_id", F.col("term").alias("base")).join(table, "base").select("query_id", F.col("alt").alias("term"), "base")
+    more = terms.select("query_id", F.col("term").alias("base")).join(F.broadcast(table), "base").select("query_id", F.col("alt").alias("term"), "base")
     return terms.select("query_id", "term", F.col("term").alias("base")).union(more).distinct()

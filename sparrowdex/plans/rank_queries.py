@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh_path
 from ..functions.text import tokens
-from ..operators import evaluate, index, learn, retrieve, signals
+from ..operators import evaluate, learn, retrieve, signals
 from ..registry import query
 from ..sources.tables import documents, queries_of, table
+from . import stored
 from .sql import BM25F, DOCS, tok
 
 _TOP = BM25F + ", top_ AS (SELECT query_id, doc_id, score FROM bm WHERE rank <= 100)"
@@ -17,8 +19,8 @@ gr AS (SELECT query_id, doc_id, CASE WHEN n = 0 OR s = 0 THEN 0 WHEN 2 * s < n T
 
 
 def _run(spark, sf_dir, k=100):
-    d = documents(spark, sf_dir)
-    return d, retrieve.bm25f(queries_of(spark, sf_dir), index.postings(d), d, k).select("query_id", "doc_id", "score")
+    e = stored.engine(spark, sf_dir)
+    return e.docs, retrieve.bm25f(queries_of(spark, sf_dir), e.postings, k=k, statistics=e.statistics).select("query_id", "doc_id", "score")
 
 
 def _graded(spark, sf_dir, d, run):
@@ -93,28 +95,83 @@ def judgement_overlay(spark, sf_dir):
     return evaluate.overlaid(x.select("query_id", "doc_id", F.col("quality").alias("grade")), gold).select("doc_id", "grade")
 
 
-@query(
-    """WITH x AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(c_nationkey AS BIGINT) AS shard_id, c_acctbal AS a, CAST(c_custkey AS DOUBLE) AS b FROM customer),
+def _columns(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.col("c_nationkey").cast("long").alias("shard_id"), F.col("c_acctbal").alias("linear"), F.col("c_custkey").cast("double").alias("logged"), F.col("c_acctbal").alias("signed"))
+
+
+_QUANTISED = """WITH x AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(c_nationkey AS BIGINT) AS shard_id, c_acctbal AS a, CAST(c_custkey AS DOUBLE) AS b FROM customer),
 z AS (SELECT shard_id, min(a) AS a0, max(a) AS a1, max(abs(a)) AS s, min(ln(1 + b)) AS b0, max(ln(1 + b)) AS b1 FROM x GROUP BY shard_id),
 y AS (SELECT *, CAST(CAST(CASE WHEN a1 > a0 THEN (a1 - a0) / 255 ELSE 1e0 END AS FLOAT) AS DOUBLE) AS ka, CAST(CAST(a0 AS FLOAT) AS DOUBLE) AS la, CAST(CAST(CASE WHEN b1 > b0 THEN (b1 - b0) / 255 ELSE 1e0 END AS FLOAT) AS DOUBLE) AS kb, CAST(CAST(b0 AS FLOAT) AS DOUBLE) AS lb, CAST(CAST(CASE WHEN s > 0 THEN 2 * s / 255 ELSE 1e0 END AS FLOAT) AS DOUBLE) AS ks FROM x JOIN z USING (shard_id)),
 l AS (SELECT *, least(greatest(round((a - la) / ka), 0), 255) AS linear, least(greatest(round((ln(1 + b) - lb) / kb), 0), 255) AS logged, least(greatest(round(a / ks) + 128, 0), 255) AS signed FROM y)
 SELECT doc_id, shard_id, CAST(linear AS BIGINT) AS linear, round(la + linear * ka, 4) AS linear_back, CAST(logged AS BIGINT) AS logged, round(exp(lb + logged * kb) - 1, 4) AS logged_back, CAST(signed AS BIGINT) AS signed, round((signed - 128) * ks, 4) AS signed_back FROM l"""
-)
+
+
+@query(_QUANTISED)
 def feature_quantisation(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.col("c_nationkey").cast("long").alias("shard_id"), F.col("c_acctbal").alias("linear"), F.col("c_custkey").cast("double").alias("logged"), F.col("c_acctbal").alias("signed"))
-    out = signals.quantised_features(c, {"linear": "linear", "logged": "log", "signed": "signed"})
+    out = signals.quantised_features(_columns(spark, sf_dir), _KINDS)
     return out.withColumns({k: F.round(k, 4) for k in ("linear_back", "logged_back", "signed_back")})
 
 
+_KINDS = {"linear": "linear", "logged": "log", "signed": "signed"}
+
+
+@query(f"SELECT doc_id, shard_id, linear_back AS linear, logged_back AS logged, signed_back AS signed FROM ({_QUANTISED})")
+def feature_dequantisation(spark, sf_dir):
+    """Levels and the stored bounds of their columns, back to values."""
+    c = _columns(spark, sf_dir)
+    bounds = fresh_path(spark, "bounds")
+    signals.feature_bounds(c, _KINDS).write.parquet(bounds)
+    back = signals.dequantised(signals.quantised_features(c, _KINDS), spark.read.parquet(bounds), _KINDS)
+    return back.withColumns({k: F.round(k, 4) for k in _KINDS})
+
+
 @query()
 def online_features(spark, sf_dir):
     """The online features of the candidates of all queries."""
-    from .engine import Engine
-
-    e, q = Engine(documents(spark, sf_dir)), queries_of(spark, sf_dir)
+    e, q = stored.engine(spark, sf_dir), queries_of(spark, sf_dir)
     return e.features(q, e.candidates(q))
 
 
+_LEN = lambda f, b: f"CASE WHEN avg_{f} > 0 THEN 1 - {b} + {b} * l_{f} / avg_{f} ELSE 1e0 END AS k_{f}"
+_SINGLE = lambda f: f"round(sum(CASE WHEN n_{f} > 0 THEN w * n_{f} * 1.9e0 / (n_{f} + 0.9e0 * k_{f}) ELSE 0e0 END), 6)"
+_HITS = lambda f: f"sum(CASE WHEN n_{f} > 0 THEN 1e0 ELSE 0e0 END)"
+_RUN = lambda f: f"CASE WHEN contains(any_value(s_{f}), ' ' || array_to_string(any_value(q), '  ') || ' ') THEN 1e0 ELSE 0e0 END"
+_FIELDS_OF = ("title", "body", "url", "anchor")
+_ONLINE = (
+    BM25F
+    + f""", c AS MATERIALIZED (SELECT query_id, doc_id FROM bm WHERE rank <= {retrieve.L1}), b AS (SELECT item_id AS query_id, {tok('text')} AS q FROM benchmark WHERE item_id IS NOT NULL),
+xd AS MATERIALIZED (SELECT doc_id, host, {tok('title')} AS title, {tok('left(body, 10000)')} AS body, {tok('url')} AS url, {tok('anchor')} AS anchor FROM d WHERE doc_id IN (SELECT doc_id FROM c)),
+xs AS MATERIALIZED (SELECT doc_id, host, {', '.join(f"len({f}) AS l_{f}" for f in _FIELDS_OF)}, ' ' || array_to_string(title, '  ') || ' ' AS s_title, ' ' || array_to_string(body, '  ') || ' ' AS s_body FROM xd),
+"""
+    + ", ".join(f"t_{f} AS MATERIALIZED (SELECT doc_id, term, count(*) AS n_{f}, min(i) AS i_{f} FROM (SELECT doc_id, unnest({f}) AS term, generate_subscripts({f}, 1) AS i FROM xd) GROUP BY doc_id, term)" for f in _FIELDS_OF)
+    + f""", y AS (SELECT c.query_id, c.doc_id, term, coalesce(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)), 1e0) AS w, coalesce(n_title, 0) AS n_title, coalesce(n_body, 0) AS n_body, coalesce(n_url, 0) AS n_url, coalesce(n_anchor, 0) AS n_anchor, i_body, xs.* EXCLUDE (doc_id),
+  {_LEN('title', '0.4e0')}, {_LEN('body', '0.75e0')}, {_LEN('url', '0.4e0')}, {_LEN('anchor', '0.5e0')}
+  FROM c JOIN qt USING (query_id) JOIN xs USING (doc_id) LEFT JOIN df USING (term) LEFT JOIN t_title USING (doc_id, term) LEFT JOIN t_body USING (doc_id, term) LEFT JOIN t_url USING (doc_id, term) LEFT JOIN t_anchor USING (doc_id, term), av),
+v AS (SELECT y.*, q, 3e0 * n_title / k_title + n_body / k_body + n_url / k_url + 2e0 * n_anchor / k_anchor AS tf FROM y JOIN b USING (query_id))
+SELECT query_id, doc_id, round(sum(CASE WHEN tf > 0 THEN w * tf / (0.9e0 + tf) ELSE 0e0 END), 6) AS bm25f_total, {_SINGLE('title')} AS bm25_title, {_SINGLE('body')} AS bm25_body, {_SINGLE('url')} AS bm25_url,
+  round(avg(CASE WHEN n_title + n_body + n_url > 0 THEN 1e0 ELSE 0e0 END), 6) AS term_coverage, round(avg(CASE WHEN n_title > 0 THEN 1e0 ELSE 0e0 END), 6) AS term_coverage_title, {_RUN('body')} AS exact_match, {_RUN('title')} AS exact_match_title,
+  round(coalesce(1e0 / min(i_body), 0e0), 6) AS first_occurrence, {_HITS('title')} AS field_hit_title, {_HITS('body')} AS field_hit_body, {_HITS('url')} AS url_term_match,
+  max(CASE WHEN list_contains(string_split(lower(host), '.'), term) THEN 1e0 ELSE 0e0 END) AS url_exact_host, CAST(count(*) AS DOUBLE) AS query_length, round(sum(w), 6) AS idf_sum, round(max(w), 6) AS idf_max, {_SINGLE('anchor')} AS bm25_anchor FROM v GROUP BY query_id, doc_id"""
+)
+#: Online features that SQL can follow; the others are windows over positions.
+IN_SQL = tuple(c for c in learn.ONLINE if c not in ("dense_cosine", "ordered_proximity", "unordered_proximity", "min_pair_distance"))
+
+
+@query(_ONLINE)
+def online_feature_values(spark, sf_dir):
+    e, q = stored.engine(spark, sf_dir), queries_of(spark, sf_dir)
+    rows = e.features(q, e.candidates(q))
+    return rows.select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in IN_SQL])
+
+
+@query()
+def judged_bootstrap(spark, sf_dir):
+    """A model trained on the lexical grades of some queries, and what it gains on the held-out ones over the order before it."""
+    e = stored.engine(spark, sf_dir)
+    out = e.train(queries_of(spark, sf_dir), share=0.2)
+    return spark.createDataFrame([(out.trained, out.untrained, out.p, out.improved, len(out.trees))], "trained double, untrained double, p double, improved boolean, trees int")
+
+
 @query(f"WITH {DOCS} SELECT doc_id, CAST(floor(doc_id / 16) AS BIGINT) AS query_id FROM d")
 def cold_start_groups(spark, sf_dir):
     return learn.grouped(documents(spark, sf_dir).select("doc_id"))

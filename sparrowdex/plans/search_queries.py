@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, retrieve
+from ..functions import parse
+from ..functions import text as T
+from ..operators import ann, index, retrieve
+from ..operators.numbering import numbered
 from ..registry import query
 from ..sources.tables import documents, queries_of, table
-from .sql import AVERAGES, BM25F, DOCS, LENGTHS, POSTINGS, TERMS, tok
+from . import stored
+from .sql import AVERAGES, BM25F, BM25F_TF, DOCS, LENGTHS, POSTINGS, TERMS, tok
 
 SHARD = 256
 
 
 def _index(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d, index.postings(d), queries_of(spark, sf_dir)
+    e = stored.engine(spark, sf_dir)
+    return e, e.postings, queries_of(spark, sf_dir)
+
+
+def _impact(spark, sf_dir):
+    """(doc_id, impact): a static impact by the length of the body, which every posting of a document carries."""
+    p = stored.engine(spark, sf_dir).postings
+    return p.groupBy("doc_id").agg(F.first("len_body").alias("n")).select("doc_id", F.round(255.0 * F.least("n", F.lit(4000)) / 4000.0).cast("long").alias("impact"))
 
 
 @query(BM25F + " SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
 def bm25f_search(spark, sf_dir):
-    d, p, q = _index(spark, sf_dir)
-    return retrieve.bm25f(q, p, d, 10)
+    e, p, q = _index(spark, sf_dir)
+    return retrieve.bm25f(q, p, k=10, statistics=e.statistics)
 
 
 @query(f"WITH {DOCS}, {LENGTHS}, {POSTINGS} SELECT p.*, len_title, len_body, len_url, len_anchor FROM p JOIN ln USING (doc_id)")
@@ -36,7 +46,7 @@ def index_statistics(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {POSTINGS}, {TERMS}, h AS (SELECT query_id, doc_id, count(*) AS matched FROM qt JOIN p USING (term) GROUP BY query_id, doc_id), n AS (SELECT query_id, count(*) AS wanted FROM qt GROUP BY query_id) SELECT query_id, doc_id, matched FROM h JOIN n USING (query_id) WHERE matched = wanted")
 def conjunctive_match(spark, sf_dir):
-    d, p, q = _index(spark, sf_dir)
+    _, p, q = _index(spark, sf_dir)
     return retrieve.matching(q, p, True)
 
 
@@ -51,8 +61,8 @@ SELECT * FROM h WHERE doc_id IN (SELECT doc_id FROM p WHERE term = 'the') AND do
 )
 def restricted_match(spark, sf_dir):
     """Required and excluded terms and a host, as semi and anti joins."""
-    d, p, q = _index(spark, sf_dir)
-    return retrieve.restricted(retrieve.matching(q, p, False), p, d, ["the"], ["von", "que"], "src1.example.com")
+    e, p, q = _index(spark, sf_dir)
+    return retrieve.restricted(retrieve.matching(q, p, False), p, e.docs, ["the"], ["von", "que"], "src1.example.com")
 
 
 @query(
@@ -61,9 +71,8 @@ s AS (SELECT query_id, doc_id, count(*) * any_value(impact) AS score FROM qt JOI
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 10"""
 )
 def impact_search(spark, sf_dir):
-    d, p, q = _index(spark, sf_dir)
-    impact = index.lengths(d).select("doc_id", F.round(255.0 * F.least("len_body", F.lit(4000)) / 4000.0).cast("long").alias("impact"))
-    return retrieve.static_impact(q, p, impact, 10)
+    _, p, q = _index(spark, sf_dir)
+    return retrieve.static_impact(q, p, _impact(spark, sf_dir), 10)
 
 
 _IMPACTS = f"""{DOCS}, {LENGTHS}, {POSTINGS}, sw AS (SELECT term, doc_id, tf_body / (1e0 + len_body) AS weight FROM p JOIN ln USING (doc_id) WHERE tf_body > 0), e AS (SELECT ln(min(weight)) AS low, ln(max(weight)) AS high FROM sw),
@@ -76,24 +85,63 @@ def _weights(p):
 
 @query(f"WITH {_IMPACTS} SELECT term, doc_id, impact FROM im")
 def sparse_impacts(spark, sf_dir):
-    return retrieve.quantised(_weights(index.postings(documents(spark, sf_dir))))
+    return retrieve.quantised(_weights(_index(spark, sf_dir)[1]))
 
 
 @query(f"WITH {_IMPACTS}, {TERMS}, s AS (SELECT query_id, doc_id, sum(2 * impact) AS score FROM qt JOIN im USING (term) GROUP BY query_id, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 10")
 def sparse_search(spark, sf_dir):
-    d, p, q = _index(spark, sf_dir)
+    _, p, q = _index(spark, sf_dir)
     return retrieve.sparse(retrieve.query_terms(q).withColumn("w", F.lit(2)), retrieve.quantised(_weights(p)), 10)
 
 
+_EXACT = """s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def _vectors(spark, sf_dir):
+    """All vectors, and as queries those whose id is divisible by 50."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {_EXACT} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
+def vector_search(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return retrieve.nearest(q, v, 10)
+
+
+def _approximate(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    centre = ann.centres(v)
+    return ann.nearest(q, ann.indexed(v, centre), centre, 10), q, v
+
+
+@query()
+def ann_search(spark, sf_dir):
+    """Cells, codes and reranking: the recall is the next query."""
+    return _approximate(spark, sf_dir)[0]
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether the approximate search finds at least nine tenths of the exact ten nearest."""
+    found, q, v = _approximate(spark, sf_dir)
+    return q.agg(F.count("*").alias("queries")).withColumn("enough", F.lit(ann.recall(found, retrieve.nearest(q, v, 10)) >= 0.9))
+
+
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, round(sum(score), 9) AS total, count(*) AS n FROM r WHERE rank <= 10 GROUP BY query_id"""
+    f"""WITH {DOCS}, {POSTINGS}, v AS (SELECT term, CAST(embedding AS DOUBLE[]) AS vector FROM (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS k FROM p GROUP BY term) JOIN embeddings ON vec_id = k),
+e AS (SELECT doc_id, i, sum(tf_body * vector[i]) AS x FROM p JOIN v USING (term), (SELECT unnest(range(1, 65)) AS i) WHERE tf_body > 0 GROUP BY doc_id, i), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM e GROUP BY doc_id)
+SELECT doc_id, round(sum(x / n * i), 6) AS moment, round(max(x / n), 6) AS most FROM e JOIN n USING (doc_id) WHERE n > 0 GROUP BY doc_id"""
 )
-def vector_search(spark, sf_dir):
-    """Every vector as a query: the sums of its ten best similarities (ids of near-ties may differ by rounding)."""
-    v = table(spark, sf_dir, "embeddings")
-    found = retrieve.nearest(v.select(F.col("vec_id").alias("query_id"), "embedding"), v, 10)
-    return found.groupBy("query_id").agg(F.round(F.sum("score"), 9).alias("total"), F.count("*").alias("n"))
+def static_embeddings(spark, sf_dir):
+    """Documents encoded by an explicit table of vectors, that of the most frequent terms: two numbers of each that tell vectors apart."""
+    p = stored.engine(spark, sf_dir).postings
+    df = numbered(index.frequencies(p).withColumn("less", -F.col("df")), "less", "term", name="k")
+    table_ = df.join(table(spark, sf_dir, "embeddings"), F.col("k") == F.col("vec_id")).select("term", F.col("embedding").alias("vector"))
+    e = retrieve.static_encoded(p, table_, 64).where(F.exists("embedding", lambda x: x != 0))
+    moment = F.aggregate(F.zip_with("embedding", F.sequence(F.lit(1), F.lit(64)), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return e.select("doc_id", F.round(moment, 6).alias("moment"), F.round(F.array_max("embedding"), 6).alias("most"))
 
 
 @query()
@@ -120,15 +168,14 @@ SELECT query_id, doc_id, score, rank FROM fr WHERE rank <= {retrieve.L1}"""
 )
 def fused_search(spark, sf_dir):
     """Reciprocal rank fusion of BM25F and static impact, cut to the size that is reranked."""
-    d, p, q = _index(spark, sf_dir)
-    impact = index.lengths(d).select("doc_id", F.round(255.0 * F.least("len_body", F.lit(4000)) / 4000.0).cast("long").alias("impact"))
-    return retrieve.fused(retrieve.bm25f(q, p, d, retrieve.L0), retrieve.static_impact(q, p, impact, retrieve.L0), k=retrieve.L1)
+    e, p, q = _index(spark, sf_dir)
+    return retrieve.fused(retrieve.bm25f(q, p, k=retrieve.L0, statistics=e.statistics), retrieve.static_impact(q, p, _impact(spark, sf_dir), retrieve.L0), k=retrieve.L1)
 
 
 @query(f"WITH {DOCS}, {POSTINGS}, {TERMS} SELECT query_id, CAST(floor(doc_id / {SHARD}) AS BIGINT) AS shard_id, count(DISTINCT term) AS terms FROM qt JOIN p USING (term) GROUP BY ALL")
 def shard_routing(spark, sf_dir):
     """The shards that each query has to ask, and how many of its terms they have."""
-    d, p, q = _index(spark, sf_dir)
+    _, p, q = _index(spark, sf_dir)
     routes = p.select("term", F.floor(F.col("doc_id") / SHARD).alias("shard_id")).distinct()
     return retrieve.query_terms(q).join(routes, "term").groupBy("query_id", "shard_id").agg(F.count("*").alias("terms"))
 
@@ -139,12 +186,45 @@ def shard_list(spark, sf_dir):
     return d.groupBy(F.floor(F.col("doc_id") / SHARD).alias("shard_id")).agg(F.min("doc_id").alias("base"), F.count("*").alias("n"))
 
 
+def _other_queries(spark, sf_dir):
+    """Queries to train on: the first words of users' turns, which no search below asks."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id is not null")
+    words = F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ")
+    return c.groupBy("conv_id").agg(F.min_by(words, F.struct("turn", "text")).alias("text")).select((-F.col("conv_id") - 1).alias("query_id"), "text").where("text <> ''")
+
+
 @query()
 def cascade_search(spark, sf_dir):
-    """Retrieve, fuse, cut and rerank with a model that is trained on lexical grades of other queries."""
-    from .engine import Engine
+    """Retrieve, fuse, cut and rerank all benchmark queries with a model that is trained on the lexical grades of other queries."""
+    engine = stored.engine(spark, sf_dir)
+    return engine.search(queries_of(spark, sf_dir), k=10, model=engine.train(_other_queries(spark, sf_dir)))
+
+
+_PARSED = f"""WITH {DOCS}, {LENGTHS}, {POSTINGS}, {AVERAGES}, b AS (SELECT item_id AS query_id, {tok('text')} AS w FROM benchmark WHERE item_id IS NOT NULL), q AS (SELECT * FROM b WHERE len(w) >= 6)"""
+PARSED_SQL = (
+    _PARSED
+    + f""", t AS (SELECT query_id, w[1] AS term FROM q UNION SELECT query_id, w[2] FROM q UNION SELECT query_id, w[3] FROM q UNION SELECT query_id, w[4] FROM q UNION SELECT query_id, w[5] FROM q),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term), wt AS (SELECT p.term, p.doc_id, CAST(round(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf / (0.9e0 + tf) * 65536) AS BIGINT) AS x FROM (SELECT p.*, df, n_docs, {BM25F_TF} AS tf FROM p JOIN ln USING (doc_id) JOIN df USING (term), av) p),
+s AS (SELECT query_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM t JOIN wt USING (term) GROUP BY query_id, doc_id),
+f AS (SELECT s.* FROM s JOIN q USING (query_id) JOIN d USING (doc_id) WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.term = w[3])
+  AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.term = w[6]) AND contains(' ' || array_to_string({tok('body')}, '  ') || ' ', ' ' || w[4] || '  ' || w[5] || ' ') AND host = 'src1.example.com'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10"""
+)
+
+
+def _asked(spark, sf_dir):
+    """Queries with free words, a required and an excluded one, a phrase and a host."""
+    w = T.tokens(F.col("text"))
+    q = queries_of(spark, sf_dir).where(F.size(w) >= 6)
+    return q.select("query_id", F.concat(w[0], F.lit(" "), w[1], F.lit(" +"), w[2], F.lit(' "'), w[3], F.lit(" "), w[4], F.lit('" -'), w[5], F.lit(" site:WWW.src1.example.com")).alias("text"))
+
+
+@query(_PARSED + " SELECT query_id, kind, CAST(part AS INT) AS part, CAST(place AS INT) AS place, -1 AS field, term FROM (SELECT query_id, 'term' AS kind, 0 AS part, 0 AS place, w[1] AS term FROM q UNION ALL SELECT query_id, 'term', 1, 0, w[2] FROM q UNION ALL SELECT query_id, 'required', 0, 0, w[3] FROM q UNION ALL SELECT query_id, 'phrase', 0, 0, w[4] FROM q UNION ALL SELECT query_id, 'phrase', 0, 1, w[5] FROM q UNION ALL SELECT query_id, 'excluded', 0, 0, w[6] FROM q UNION ALL SELECT query_id, 'host', 0, 0, 'src1.example.com' FROM q)")
+def parsed_queries(spark, sf_dir):
+    return parse.pieces_of(_asked(spark, sf_dir))
+
 
-    d = documents(spark, sf_dir)
-    engine = Engine(d)
-    q = queries_of(spark, sf_dir)
-    return engine.search(q, k=10, model=engine.train(q.where("query_id % 2 = 1"), rounds=30))
+@query(PARSED_SQL)
+def parsed_search(spark, sf_dir):
+    """Queries with operators, all conditions enforced."""
+    return stored.engine(spark, sf_dir).search_parsed(parse.pieces_of(_asked(spark, sf_dir)), 10)

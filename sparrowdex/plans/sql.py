@@ -24,6 +24,7 @@ AVERAGES = "av AS (SELECT count(*) AS n_docs, CAST(sum(len_title + len_body) AS
 TERMS = f"qt AS (SELECT DISTINCT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark WHERE item_id IS NOT NULL)"
 _W, _B = {"title": "3e0", "body": "1e0", "url": "1e0", "anchor": "2e0"}, {"title": ("0.6e0", "0.4e0"), "body": ("0.25e0", "0.75e0"), "url": ("0.6e0", "0.4e0"), "anchor": ("0.5e0", "0.5e0")}
 _TF = "0e0 + " + " + ".join(f"{_W[f]} * tf_{f} / CASE WHEN avg_{f} > 0 THEN {_B[f][0]} + {_B[f][1]} * len_{f} / avg_{f} ELSE 1e0 END" for f in _FIELDS)
+BM25F_TF = _TF
 BM25F = f"""WITH {DOCS}, {LENGTHS}, {POSTINGS}, {AVERAGES}, {TERMS},
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 w AS (SELECT p.term, p.doc_id, df, n_docs, {_TF} AS tf FROM p JOIN ln USING (doc_id) JOIN df USING (term), av),
@@ -35,13 +36,13 @@ EDGES = """deals AS (SELECT CAST(o_custkey AS BIGINT) AS c, CAST(l_suppkey + 100
 edges AS (SELECT c AS src, s AS dst FROM deals UNION SELECT s, c FROM deals WHERE f = 'R')"""
 
 
-def ranks(name: str, edges: str, nodes: str, teleport: str | None, iterations: int) -> str:
-    """CTEs that end in <name>(id, rank): power iterations over edges (src, dst, w)."""
+def ranks(name: str, edges: str, nodes: str, teleport: str | None, iterations: int = 100, tolerance: str = "1e-6") -> str:
+    """CTEs that end in <name>(id, rank): the power iteration of graph.weighted_rank over edges (src, dst, w)."""
     p = f"SELECT id, 1e0 / (SELECT count(*) FROM {nodes}) AS p FROM {nodes}" if teleport is None else f"SELECT n.id, coalesce(t.p, 0e0) AS p FROM {nodes} n LEFT JOIN {teleport} t USING (id)"
     out = [f"{name}_o AS MATERIALIZED (SELECT src, sum(w) AS o FROM {edges} GROUP BY src)", f"{name}_l AS MATERIALIZED (SELECT e.src, e.dst, e.w / o AS share FROM {edges} e JOIN {name}_o USING (src))"]
-    out += [f"{name}_p AS MATERIALIZED ({p})", f"{name}_0 AS MATERIALIZED (SELECT id, p AS r FROM {name}_p)"]
-    for k in range(iterations):
-        lost = f"(SELECT coalesce(sum(r), 0e0) FROM {name}_{k} WHERE id NOT IN (SELECT src FROM {name}_o))"
-        into = f"(SELECT dst AS id, sum(r * share) AS s FROM {name}_l JOIN {name}_{k} ON src = id GROUP BY dst)"
-        out.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT a.id, p * (0.15e0 + 0.85e0 * {lost}) + 0.85e0 * coalesce(s, 0e0) AS r FROM {name}_p a LEFT JOIN {into} i USING (id))")
-    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT id, r AS rank FROM {name}_{iterations})"])
+    out.append(f"{name}_p AS MATERIALIZED ({p})")
+    into = f"(SELECT l.dst AS id, sum(i.r * l.share) AS s FROM {name}_l l JOIN {name}_i i ON l.src = i.id GROUP BY l.dst)"
+    step = f"SELECT i.k + 1 AS k, a.id, a.p * 0.15e0 + 0.85e0 * coalesce(s, 0e0) AS r, i.r AS old FROM {name}_i i JOIN {name}_p a ON a.id = i.id LEFT JOIN {into} n ON n.id = a.id WHERE i.k < {iterations} AND NOT (i.k > 0 AND i.k % 10 = 0 AND i.d < {tolerance})"
+    out.append(f"{name}_i AS (SELECT 0 AS k, id, p AS r, 1e9 AS d FROM {name}_p UNION ALL SELECT k, id, r, sum(abs(r - old)) OVER () AS d FROM ({step}))")
+    out.append(f"{name}_z AS MATERIALIZED (SELECT id, r FROM {name}_i WHERE k = (SELECT max(k) FROM {name}_i))")
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT id, r / (SELECT sum(r) FROM {name}_z) AS rank FROM {name}_z)"])

@@ -25,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import corpus_queries, graph_queries, rank_queries, search_queries  # noqa: F401
+    from .plans import collection_queries, corpus_queries, graph_queries, rank_queries, search_queries  # noqa: F401
     from .streaming import incremental  # noqa: F401

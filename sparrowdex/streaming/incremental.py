@@ -87,10 +87,10 @@ def folded_statistics(spark, sf_dir):
     return folded(part(0), part(1), ["lang"], ["n", "n_chars"])
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) GROUP BY user_id UNION ALL SELECT user_id, 1 FROM events WHERE user_id IS NULL")
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) GROUP BY user_id UNION ALL SELECT NULL, 2 * count(*) FROM events WHERE user_id IS NULL HAVING count(*) > 0")
 def crawl_added_once(spark, sf_dir):
-    """A stream of records whose identities are added once, also when it is read again."""
+    """A stream of records whose identities are added once, also when it is read again; records without one are new each time."""
     target = fresh_path(spark, "crawl")
     for k in range(2):
-        add_crawl(_stream(spark, sf_dir, "events").select("user_id").where("user_id is not null" if k else "true"), target, f"{target}-state-{k}", "user_id").awaitTermination()
+        add_crawl(_stream(spark, sf_dir, "events").select("user_id"), target, f"{target}-state-{k}", "user_id").awaitTermination()
     return spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -1,15 +1,24 @@
 """Queries of the package against their SQL, and operators over small tables."""
 
 import glob
+import io
+import json
 import os
+import random
+import threading
+from urllib.request import Request, urlopen
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowdex import registry
 from sparrowdex.functions import language
-from sparrowdex.operators import evaluate, graph, learn, retrieve, signals, spelling
-from sparrowdex.plans.engine import Engine
+from sparrowdex.functions import tables as tables_of
+from sparrowdex.operators import ann, evaluate, graph, judge, learn, retrieve, signals, spelling
+from sparrowdex.plans.collection import Collection
+from sparrowdex.plans.engine import ROW, Engine
+from sparrowdex.plans.serve import Service, served
 from sparrowdex.sources import tables
 from sparrowdex.streaming import incremental
 
@@ -30,10 +39,7 @@ def plain(rows):
     return sorted((tuple(0.0 if x == 0 else x for x in r) for r in rows), key=str)
 
 
-SLOW = {"static_rank", "spam_mass", "trust_seed_selection", "anti_trust_rank", "inverse_page_rank", "domain_rank", "metrics_by_query"}
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - (set() if os.environ.get("TEST_ALL") else SLOW)))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql_agrees(spark, sf_dir, duck, name):
     df = registry.QUERIES[name](spark, sf_dir)
     names = sorted(df.columns)
@@ -80,7 +86,7 @@ def test_penalty_spares_the_representative(spark):
 def test_rank_converges_and_sums_to_one(spark):
     n = spark.createDataFrame([(k, "h", "d") for k in range(6)], "id long, host string, domain string")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0), (4, 0)], "src long, dst long")
-    r = {x["id"]: x["rank"] for x in graph.pagerank(e, n, iterations=60).collect()}
+    r = {x["id"]: x["rank"] for x in graph.pagerank(e, n).collect()}
     assert abs(sum(r.values()) - 1) < 1e-9 and r[0] > r[1] > r[3] and abs(r[3] - r[5]) < 1e-9
 
 
@@ -97,10 +103,15 @@ def test_engine_life_cycle(spark, tmp_path):
     rows = [(k, f"https://h.org/{k}", "h.org", f"title {w}", f"{w} body text", "") for k, w in enumerate(["red", "green", "blue", "red blue"])]
     docs = spark.createDataFrame(rows, "doc_id long, url string, host string, title string, body string, anchor string")
     e = Engine(docs)
-    assert [d for d, _ in e.ask("red")] == [d for d, _ in e.ask("RED")] == [0, 3] and e.ask(" ") == []
-    assert [d for d, _ in e.published(docs.where("doc_id = 0").withColumn("doc_id", F.lit(9).cast("long"))).ask("red")][:2] == [0, 9]
-    assert [d for d, _ in e.retired(docs.where("doc_id = 0")).compacted().ask("red")] == [3]
-    assert [d for d, _ in Engine.open(spark, e.save(str(tmp_path / "c"))).ask("blue")] == [2, 3]
+    found = lambda engine, text, **options: [d for d, _ in engine.ask(text, **options).hits]
+    assert found(e, "red") == found(e, "RED") == [0, 3] and found(e, " ") == [] and e.ask("Red").cached
+    assert found(e, "+red -blue", enforce=True) == [0] and found(e, "+red -blue") == [0, 3] and found(e, '"red blue" site:h.org', enforce=True) == [3]
+    assert e.ask("blue", deadline=600.0).complete and found(e, "green", deadline=600.0) == [1]
+    late = e.ask("text", deadline=0.0)
+    assert not late.complete and not late.hits and not e.ask("text", deadline=0.0).cached
+    assert found(e.published(docs.where("doc_id = 0").withColumn("doc_id", F.lit(9).cast("long"))), "red")[:2] == [0, 9]
+    assert found(e.retired(docs.where("doc_id = 0")).compacted(), "red") == [3]
+    assert found(Engine.open(spark, e.save(str(tmp_path / "c"))), "blue") == [2, 3]
     q = spark.createDataFrame([(1, "red blue"), (2, "green")], "query_id long, text string")
     model = e.train(q, rounds=3, least=1)
     assert {r["query_id"] for r in e.search(q, 2, model).collect()} == {1, 2}
@@ -133,3 +144,140 @@ def test_added_crawls_hold_each_key_once(spark, tmp_path):
         incremental.add_crawl(s, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(str(r["url"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3", "None", "None"]
     assert incremental.due(100, 16) and not incremental.due(10_000, 99)
+
+
+def test_levels_drop_the_shards_of_the_least_static_rank(spark):
+    rows = [(k, f"https://h.org/{k}", "h.org", "title", "same text", "") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, host string, title string, body string, anchor string")
+    signals_ = spark.createDataFrame([(k, 1.0 / (1 + k)) for k in range(8)], "doc_id long, static_rank double")
+    e = Engine(docs, signals_, shard=2)
+    q = spark.createDataFrame([(1, "same")], "query_id long, text string")
+    assert sorted(r["doc_id"] for r in e.search(q, level=2).collect()) == list(range(8))
+    assert sorted(r["doc_id"] for r in e.search(q, level=3).collect()) == list(range(6))
+
+
+def test_rows_hold_matrix_and_online_features(spark):
+    docs = spark.createDataFrame([(1, "https://h.org/1", "h.org", "red", "red car", ""), (2, "https://h.org/2", "h.org", "x", "red", "")], "doc_id long, url string, host string, title string, body string, anchor string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    e = Engine(docs, spark.createDataFrame([(1, 0.25, 3.0)], "doc_id long, static_rank double, in_degree double"), vectors)
+    q = spark.createDataFrame([(7, "red", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    got = {r["doc_id"]: r for r in e.rows(q, e.candidates(q)).collect()}
+    assert e.rows(q, e.candidates(q)).columns == ["query_id", "doc_id", "grade", *ROW] and len(ROW) == 48
+    assert (got[1]["static_rank"], got[1]["in_degree"], got[2]["static_rank"]) == (0.25, 3.0, 0.0)
+    assert abs(got[1]["dense_cosine"] - 1) < 1e-9 and abs(got[2]["dense_cosine"] - 0.6) < 1e-9 and got[1]["bm25f_total"] > got[2]["bm25f_total"] > 0
+
+
+def test_collection_is_built_added_to_compacted_and_reclaimed(spark, tmp_path):
+    crawl = "url string, host string, crawl_date string, body string"
+    first = [("http://b.org/x?utm_source=1", "b.org", "2024-01-01", "red [see a](http://a.org/1)"), ("http://b.org/x", "b.org", "2024-01-02", "newer red [see a](http://a.org/1)"), ("http://a.org/1", "a.org", "2024-01-01", "blue"), ("nonsense", "n", "", "odd"), ("http://c.org/", "c.org", "", "")]
+    c = Collection.build(spark, spark.createDataFrame(first, crawl), str(tmp_path / "c"), shard=2)
+    docs = {r["url"]: r for r in c.table("docs").collect()}
+    assert [(r["doc_id"], r["url"]) for r in sorted(docs.values())] == [(0, "http://a.org/1"), (1, "http://b.org/x"), (2, "nonsense")]
+    assert docs["http://a.org/1"]["anchor"] == "see a see a" and docs["http://b.org/x"]["crawl_date"] == "2024-01-02"
+    assert c.next_base() == 3 and [tuple(r)[:3] for r in c.shards().collect()] == [(0, 0, 2), (1, 2, 1)] and [tuple(r) for r in c.edges().collect()] == [(1, 0)]
+    more = c.add(spark.createDataFrame([("https://c.org/new", "c.org", "2024-02-01", "green <http://b.org/x>"), ("http://a.org/1#top", "a.org", "2024-02-01", "held")], crawl))
+    assert c.next_base() == 3 and more.next_base() == 4 and sorted(tuple(r) for r in more.edges().collect()) == [(1, 0), (3, 1)]
+    assert more.statistics().first()["n_docs"] == 4 and more.engine().ask("green").hits[0][0] == 3
+    routes = more.routes(spark.createDataFrame([(1, "green"), (2, None)], "query_id long, term string")).collect()
+    assert {(r["query_id"], r["shard_id"]) for r in routes} == {(1, 1), (2, 0), (2, 1)}
+    new = more.compact()
+    assert new.version == 1 and new.parts == 1 and [r["url"] for r in new.table("docs").orderBy("doc_id").collect()] == ["http://a.org/1", "http://b.org/x", "https://c.org/new", "nonsense"]
+    assert more.table("docs").count() == 4 and new.reclaim() == 1 and new.versions() == [1]
+    assert {r["name"]: r["rows"] for r in new.inspect().collect()}["docs"] == 4
+    with pytest.raises(FileNotFoundError):
+        Collection(spark, str(tmp_path / "none"))
+    assert Collection.build(spark, spark.createDataFrame([], crawl), str(tmp_path / "empty")).statistics().first()["n_docs"] == 0
+
+
+def test_approximate_search_finds_nine_tenths(spark, sf_dir):
+    v = tables.table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centre = ann.centres(v)
+    index_ = ann.indexed(v, centre)
+    assert index_.count() == v.count()
+    exact = retrieve.nearest(q, v, 10)
+    assert ann.recall(ann.nearest(q, index_, centre, 10), exact) >= 0.9
+    assert ann.recall(ann.nearest(q, index_, centre, 10, probes=len(centre), depth=v.count()), exact) == 1.0
+    assert ann.nearest(q.limit(0), index_, centre).count() == 0
+
+
+def test_ranks_equal_a_power_iteration(spark, sf_dir):
+    e, n = tables.edges(spark, sf_dir), tables.nodes(spark, sf_dir)
+    ids = sorted(r["id"] for r in n.collect())
+    at = {x: k for k, x in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    for r in e.collect():
+        m[at[r["dst"]], at[r["src"]]] = 1
+    out = m.sum(axis=0)
+    share = m / np.where(out > 0, out, 1)
+    r = np.full(len(ids), 1 / len(ids))
+    for _ in range(300):
+        r = (0.15 + 0.85 * r[out == 0].sum()) / len(ids) + 0.85 * share @ r
+    got = {x["id"]: x["rank"] for x in graph.pagerank(e, n).collect()}
+    assert sum(abs(got[x] - r[at[x]]) for x in ids) < 1e-5
+    few = {"iterations": 20, "tolerance": None}
+    here, there = ({x["id"]: x["rank"] for x in graph.pagerank(e, n, local=size, **few).collect()} for size in (graph.LOCAL, 0))
+    assert here.keys() == there.keys() and all(abs(here[x] - there[x]) < 1e-12 for x in here)
+
+
+def test_service_answers_and_swaps_snapshots(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "https://h.org/0", "h.org", "t", "red", ""), (1, "https://h.org/1", "h.org", "t", "blue", "")], "doc_id long, url string, host string, title string, body string, anchor string")
+    docs.withColumn("doc_id", F.col("doc_id") + 10).write.parquet(str(tmp_path / "more"))
+    s = Service(lambda: Engine(docs), slots=1)
+    server = served(s)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = json.load(urlopen(f"{at}/search?q=red&k=3"))
+        assert [h["doc_id"] for h in got["hits"]] == [0] and got["complete"] and got["degrade"] == 0
+        assert json.load(urlopen(f"{at}/healthz"))["documents"] == 2
+        assert json.load(urlopen(Request(f"{at}/admin/publish", json.dumps({"path": str(tmp_path / "more")}).encode())))["documents"] == 4
+        assert json.load(urlopen(Request(f"{at}/admin/retire", b'{"doc_ids": [0, 11]}')))["documents"] == 2
+        assert json.load(urlopen(Request(f"{at}/admin/reload", b"")))["documents"] == 2
+    finally:
+        server.shutdown()
+    assert s.handle("GET", "/search?q=x&k=0")[0] == s.handle("POST", "/admin/publish")[0] == 400 and s.handle("GET", "/none")[0] == 404
+    s._slots.acquire()
+    assert s.handle("GET", "/search?q=red")[0] == 503
+
+
+def test_judges_of_ones_own(spark):
+    pairs = spark.createDataFrame([(1, 2, "q", "t", "b")], "query_id long, doc_id long, query string, title string, body string")
+    assert [tuple(r) for r in learn.judged_by(pairs, lambda prompt: f"Grade: {1 + prompt.count('Query: q')}").collect()] == [(1, 2, 2)]
+
+
+@pytest.mark.parametrize("n", [2, 1 << 16, 1 << 21, 1 << 26, 1 << 34])
+def test_close_fingerprints_share_a_band_at_any_size(n):
+    rng = random.Random(n)
+    masks = signals.band_masks(n)
+    assert all(bin(m & (2**64 - 1)).count("1") >= 16 for m in masks)
+    for _ in range(300):
+        flips = sum(1 << b for b in rng.sample(range(64), signals.NEAR))
+        assert any(not flips & m & (2**64 - 1) for m in masks)
+
+
+def test_functions_that_give_tables(spark):
+    tables_of.register(spark)
+    assert [tuple(r) for r in spark.sql("select * from tokens('Red, car')").collect()] == [(0, "red"), (1, "car")]
+    assert [tuple(r) for r in spark.sql("select d.id, o.target from values (1, 'see [x](/b)') as d(id, body), lateral outlinks('http://h.org/', d.body) o").collect()] == [(1, "http://h.org/b")]
+    assert [tuple(r) for r in spark.sql("select * from anchors('http://h.org/', '[x](/b) <http://c.org/>')").collect()] == [("http://h.org/b", "x")]
+
+
+def test_a_chat_judge_asks_and_reads(monkeypatch):
+    seen = []
+
+    class Reply(io.BytesIO):
+        pass
+
+    def answer(request, timeout):
+        seen.append((request.full_url, json.loads(request.data), request.get_header("Authorization")))
+        return Reply(json.dumps({"choices": [{"message": {"content": "Grade: 2"}}]}).encode())
+
+    monkeypatch.setattr(judge, "urlopen", answer)
+    for name, value in (("JUDGE_URL", "http://j/v1"), ("JUDGE_MODEL", "m"), ("JUDGE_KEY", "k")):
+        monkeypatch.setenv(name, value)
+    assert learn.grade_reply(judge.ChatJudge.of_environment()("how good?")) == 2
+    assert seen == [("http://j/v1", {"model": "m", "temperature": 0, "messages": [{"role": "user", "content": "how good?"}]}, "Bearer k")]
+    monkeypatch.delenv("JUDGE_MODEL")
+    with pytest.raises(ValueError):
+        judge.ChatJudge.of_environment()
