@@ -10,6 +10,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowdex.llm import chat, crf, decontaminate, licences, pieces, ppm, pseudonyms, rules, simhash, tokencache
 from sparrowdex.llm import queries as registry
@@ -109,6 +110,24 @@ def test_chat_machine_has_states_beside_roles(spark):
     assert {r[0] for r in got if r[6]} == {1} and [r[7] for r in got if r[0] == 2] == [3]
 
 
+def test_long_conversations_are_cut_and_give_the_same(spark):
+    rng, turns = random.Random(21), []
+    for conv in range(40):
+        role = "system" if rng.random() < 0.3 else "user"
+        for k in range(rng.randint(1, 30)):
+            turns.append((conv, k, role if rng.random() > 0.02 else rng.choice(["user", "assistant", "tool", None]), rng.choice(["a", "b", None]), "", 1))
+            role = "assistant" if role == "user" else "user"
+        if conv % 2:
+            turns.append((conv, rng.randint(0, 30), "user", "tied", "", 1))
+        turns += turns[-2:]
+    turns.append((3, None, "user", "no place", "", 1))
+    c = chats(spark, turns)
+    want = rows(chat.format_chats(c))
+    for most in (1, 2, 3, 7):
+        assert rows(chat.format_chats(c, most=most)) == want
+    assert {r[6] for r in want} == {True, False}
+
+
 # 2: decontamination
 
 
@@ -227,6 +246,10 @@ def test_rules_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(2, 0, 0)], "doc_id long, quality int, toxic int")
     assert rules.judge(awkward, labels).count() == 11
     assert rules.judge(nothing, labels).count() == 0
+    # contradicting labels count as good, repeated ones once, and documents alike in all statistics can't be told apart
+    docs = docs_of(spark, ["same words here"] * 12)
+    both = spark.createDataFrame([(k, q, 0) for k in range(12) for q in ((0, 1) if k < 6 else (k % 2,))], "doc_id long, quality int, toxic int")
+    assert rules.judge(docs, both).where("keep").count() == 12 and rules.fit(docs, both) == []
 
 
 # 4: token counts
@@ -515,6 +538,24 @@ def test_dropout_varies_by_seed_and_lane_and_is_lossless(spark, model, awkward,
     assert pieces.encode_documents(nothing).count() == 0
 
 
+def test_ids_that_say_something_else_are_not_lossless(model):
+    texts = pa.array(["one two", "", "three", None, " four"])
+    ids, lossless = pieces.encode_texts(model, texts, np.arange(5))
+    assert lossless.to_pylist() == [True, True, True, None, True]
+    values, count = ids.flatten().to_numpy().copy(), np.array([len(x or []) for x in ids.to_pylist()])
+    values[count[0]] = values[0]  # the third text now begins like the first
+    assert pieces._decodes(model, texts, values, count).tolist() == [True, True, False, True, True]
+    assert pieces._decodes(model, texts, values[1:], count - np.array([1, 0, 0, 0, 0])).tolist()[0] is False
+
+
+def test_decoding_takes_null_empty_and_repeated_rows(spark):
+    rows_ = [(1, None), (2, []), (None, [262]), (3, [262]), (3, [262])]
+    got = spark.createDataFrame(rows_, "doc_id long, ids array<int>")
+    out = sorted(((r["doc_id"], r["text"]) for r in pieces.decode_documents(got).collect()), key=str)
+    assert [t for i, t in out if i == 1] == [None] and [t for i, t in out if i == 2] == [""] and len(out) == 5
+    assert pieces.decode_documents(got.limit(0)).count() == 0
+
+
 def test_every_occurrence_is_segmented_for_itself(model):
     texts = [" ".join(["international"] * 40)] * 30
     got, same = pieces.encode_texts(model, pa.array(texts), np.arange(30), 0.3, 5)
@@ -579,6 +620,8 @@ def test_crf_held_out_accuracy_and_cases(spark, awkward, nothing):
     assert sum(got[k] == (k % 3 != 0) for k in range(200, 300)) >= 97
     assert crf.line_quality(awkward, labels.limit(0)).where("quality = 1 and keep").count() == 11
     assert crf.line_quality(nothing, labels).count() == 0
+    fitted = {str(r["doc_id"]) + str(r["n_lines"]): r for r in crf.line_quality(docs.union(awkward.where("doc_id is null or doc_id <> 0").withColumn("doc_id", F.col("doc_id") + 1000)), labels).where("doc_id is null or doc_id >= 1000").collect()}
+    assert fitted["10010"]["quality"] == fitted["10020"]["quality"] == 1.0 and all(0 <= r["quality"] <= 1 for r in fitted.values()) and fitted["10041"]["n_lines"] == 1
 
 
 # 9: pseudonyms
@@ -653,6 +696,8 @@ def test_licence_spans(spark, awkward, nothing):
     assert [(r[0], r[1]) for r in got] == [(0, "gpl-3.0-notice"), (1, "apache-2.0-header"), (3, "gpl-3.0-notice"), (3, "gpl-3.0-notice")]
     assert got[0][2:4] == (50, 61) and got[0][5] == 1.0
     assert licences.scan(awkward).count() == 0 and licences.scan(nothing).count() == 0
+    alike = {"b": "one two three four five six", "a": "one two three four five six", "short": "one two"}
+    assert [r[1] for r in rows(licences.scan(docs_of(spark, ["see one two three four five six", "see one two three four five six"]), alike))] == ["a", "a"]
 
 
 # registry and pipeline
@@ -699,12 +744,25 @@ def test_pipeline_equals_its_stages(spark, sf_dir, tmp_path):
 def test_pipeline_stages_take_awkward_rows(spark, awkward, tmp_path, sf_dir):
     import corpus_pipeline
 
-    for name, stage in corpus_pipeline.STAGES[:4]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, awkward, sf_dir)
-        assert out.columns == awkward.columns, name
+        assert out.columns == (awkward.columns if name != "sentencepiece_encoding" else ["doc_id", "ids", "n_ids", "lossless"]), name
         assert out.count() > 0
 
 
+def test_pipeline_of_an_empty_table(spark, nothing, tmp_path, sf_dir):
+    import corpus_pipeline
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_the_key_of_the_session_is_used(spark, sf_dir):
     docs = docs_of(spark, ["mail a.b@example.com, version 10.2.3.4, host 10.2.3.4"])
     plain = pseudonyms.mask_documents(spark, docs, sf_dir).first()["text"]
