@@ -77,6 +77,15 @@ def test_near_clusters_against_brute_force(spark):
                 assert got[a] == got[b]
 
 
+def test_components_here_and_there_are_the_same(spark):
+    rng = random.Random(6)
+    pairs = [(k, k + 1) for k in range(20)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(25)] + [(7, 7)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    here, there = (sorted(tuple(r) for r in graph.components(e, local=size).collect()) for size in (graph.LOCAL, 0))
+    assert here == there and dict(here)[20] == 0
+    assert graph.components(e.limit(0)).count() == 0
+
+
 def test_penalty_spares_the_representative(spark):
     c = spark.createDataFrame([(1, 1, 2), (2, 1, 2)], "doc_id long, root long, size long")
     r = spark.createDataFrame([(1, 0.2, "2024", "u"), (2, 0.4, "2024", "u")], "doc_id long, rank double, crawl_date string, url string")
