@@ -37,7 +37,7 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED = 0.1, 17
 LONG_UNIT = 48
 #: Bytes of texts, and occurrences of units, that are encoded at once: what a worker holds beside the model's tables.
-_CHUNK, _SLICE = 1 << 22, 1 << 17
+_CHUNK, _SLICE = 1 << 21, 1 << 17
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
 _NONE = np.int32(np.iinfo(np.int32).max)
