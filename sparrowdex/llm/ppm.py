@@ -35,11 +35,11 @@ from ._text import HashIndex, bounded_batches, checkpointed, chunks, mix, ragged
 
 ORDER = 4
 #: Paths whose code lengths each worker holds; the others are joined.
-CACHED = 1_000_000
+CACHED = 600_000
 #: Paths whose code lengths are computed at once; contexts that end in the same two bytes stay together.
 _BUNDLE = 1 << 19
 _CHUNK = 1 << 20
-_FLUSH = 1_500_000
+_FLUSH = 750_000
 
 
 def _half(doc_id: pa.Array) -> np.ndarray:
