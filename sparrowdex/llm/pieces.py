@@ -6,8 +6,8 @@ document's id, the unit, its number in the document and the candidate's place fa
 every occurrence of a unit is segmented for itself, and any segmentation decodes to the same text. Without dropout the pieces are those
 of the library.
 
-The agenda runs over all units of a chunk at once: each round finds every unit's best candidate with array operations, merges it and
-drops the units that are done. Equal units share a run without dropout; an occurrence that skips none of its merges has its result, and
+The agenda runs over all units of a chunk at once, those of about one length as the columns of a matrix: each round finds every unit's best
+candidate with one minimum over the rows, merges it, looks up its two neighbours and drops the units that are done. Equal units share a run without dropout; an occurrence that skips none of its merges has its result, and
 only the others run an agenda of their own. Units longer than LONG_UNIT use a heap instead, with the same result.
 
 Every text's ids are decoded again beside the encoding and compared with it byte by byte (lossless); decode_documents gives the texts back.
@@ -39,6 +39,8 @@ LONG_UNIT = 48
 #: Bytes of texts, and occurrences of units, that are encoded at once: what a worker holds beside the model's tables.
 _CHUNK, _SLICE = 1 << 21, 1 << 17
 SPACE = "▁"
+#: Units between two of these lengths share a matrix, so many at once: it stays in a core's cache.
+_WIDTHS, _COLUMNS = (1, 3, 5, 7, 9, 12, 16, 24, 32, LONG_UNIT), 1 << 13
 _UNIT = re.compile(r" *[^ ]+| +")
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -89,8 +91,7 @@ class Pieces:
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self.ranks, self.to = np.full(1 << bits, _NONE, np.int32), np.zeros(1 << bits, np.int32)
-        slot = (mix(keys) >> self.shift).astype(np.int64)
-        for k, s in enumerate(slot.tolist()):
+        for k, s in enumerate(self._slot(keys).tolist()):
             while self.keys[s] != np.iinfo(np.uint64).max:
                 s = (s + 1) & int(self.mask)
             self.keys[s], self.ranks[s], self.to[s] = keys[k], pairs[k][2], pairs[k][3]
@@ -100,19 +101,26 @@ class Pieces:
             if len(t) == 1:
                 self.plane[ord(t)] = i
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of pairs of symbols; rank _NONE where they don't merge."""
-        key = (a.astype(np.uint64) << np.uint64(32)) | (b.astype(np.int64) & 0xFFFFFFFF).astype(np.uint64)
-        slot = (mix(key) >> self.shift).astype(np.int64)
-        rank, to = np.full(len(key), _NONE, np.int32), np.zeros(len(key), np.int32)
-        left = np.flatnonzero((a >= 0) & (b >= 0))
+        """Rank and result of pairs of symbols (int64); rank _NONE where they don't merge."""
+        key = ((a << 32) | b).view(np.uint64)  # a negative symbol gives a key over all that are there, two of -1 that of an empty slot, whose rank is _NONE
+        slot = self._slot(key)
+        at = self.keys[slot]
+        rank, to = self.ranks[slot], self.to[slot]
+        left = np.flatnonzero(at != key)
+        rank[left] = _NONE
+        left = left[at[left] != np.iinfo(np.uint64).max]
         while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
             s = slot[left]
             at = self.keys[s]
             hit = at == key[left]
             rank[left[hit]], to[left[hit]] = self.ranks[s[hit]], self.to[s[hit]]
             left = left[~hit & (at != np.iinfo(np.uint64).max)]
-            slot[left] = (slot[left] + 1) & self.mask
         return rank, to
 
 
@@ -125,10 +133,15 @@ def _cut(dropout: float) -> np.uint64:
     return np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
 
-def _place(unit_key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hash of a candidate: its unit's key and the first characters of its sides and the one after it."""
+def _packed(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A candidate's place in a unit: the first characters of its sides and the one after it."""
     with np.errstate(over="ignore"):
-        return mix(unit_key + (left.astype(np.uint64) << np.uint64(42)) + (middle.astype(np.uint64) << np.uint64(21)) + right.astype(np.uint64))
+        return (left.astype(np.uint64) << np.uint64(42)) + (middle.astype(np.uint64) << np.uint64(21)) + right.astype(np.uint64)
+
+
+def _place(unit_key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a candidate: its unit's key and its place."""
+    return mix(unit_key + _packed(left, middle, right))
 
 
 def _unit_hashes(units: pa.Array) -> np.ndarray:
@@ -190,64 +203,86 @@ def encode_by_heap(p: Pieces, symbols: list[int], key: int, dropout: float) -> l
 
 
 def _agenda(p: Pieces, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All units' agendas at once. sym: symbols, unit: their units, ascending; returns symbols and units that are left. trace: gets (unit, place) of merges."""
+    """Agendas of all units, of LONG_UNIT symbols at most. sym: symbols, unit: their units, ascending; returns symbols and units that are left. trace: gets (unit, place) of merges."""
     if not len(sym):
         return sym, unit
-    first = np.concatenate([[True], unit[1:] != unit[:-1]])
-    begin = np.flatnonzero(first)
-    start = np.arange(len(sym)) - np.repeat(begin, np.diff(np.append(begin, len(sym))))
-    end = start + 1
-    done_sym, done_unit, done_start = [], [], []
+    begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    size = np.diff(np.append(begin, len(sym)))
+    start = np.arange(len(sym)) - np.repeat(begin, size)
     cut = _cut(dropout)
-    rank = np.full(len(sym), _NONE, np.int32)
-    to = np.zeros(len(sym), np.int32)
-    fresh = np.arange(len(sym) - 1)
-    while len(sym):
-        # candidates that are new in this round
-        fresh = fresh[unit[fresh] == unit[fresh + 1]] if len(fresh) else fresh
-        rank_new, to_new = p.lookup(sym[fresh], sym[fresh + 1])
-        if cut:
-            some = np.flatnonzero(rank_new != _NONE)
-            at = fresh[some]
-            skipped = _place(key[unit[at]], start[at], start[at + 1], end[at + 1]) < cut
-            rank_new[some[skipped]] = _NONE
-        rank[fresh], to[fresh] = rank_new, to_new
-        begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        size = np.diff(np.append(begin, len(sym)))
-        best = np.minimum.reduceat(rank, begin)
-        open_ = best != _NONE
-        if not open_.all():
-            over = np.repeat(~open_, size)
-            done_sym.append(sym[over])
-            done_unit.append(unit[over])
-            done_start.append(start[over])
-            live = ~over
-            sym, unit, start, end, rank, to = sym[live], unit[live], start[live], end[live], rank[live], to[live]
-            if not len(sym):
-                break
-            best, size = best[open_], size[open_]
-            begin = np.cumsum(size) - size
-        hit = np.flatnonzero(rank == np.repeat(best, size))
-        u = unit[hit]
-        hit = hit[np.concatenate([[True], u[1:] != u[:-1]])]  # leftmost of each unit
+    rank, to = np.full(len(sym), _NONE, np.int32), np.zeros(len(sym), np.int32)
+    pair = np.flatnonzero(unit[1:] == unit[:-1])
+    rank[pair], to[pair] = p.lookup(sym[pair], sym[pair + 1])
+    if cut:
+        some = np.flatnonzero(rank != _NONE)
+        i = start[some]
+        rank[some[_place(key[unit[some]], i, i + 1, i + 2) < cut]] = _NONE
+    sym, left = sym.copy(), np.ones(len(sym), bool)
+    lowest = np.minimum.reduceat(rank, begin)
+    for low, high in zip(_WIDTHS, _WIDTHS[1:]):
+        group = np.flatnonzero((size > low) & (size <= high) & (lowest != _NONE))
+        for a in range(0, len(group), _COLUMNS):
+            g = group[a : a + _COLUMNS]
+            _agenda_of(p, sym, left, rank, to, begin[g], size[g], unit[begin[g]], key, cut, trace)
+    return sym[left], unit[left]
+
+
+def _agenda_of(p: Pieces, sym: np.ndarray, left: np.ndarray, rank: np.ndarray, to: np.ndarray, begin: np.ndarray, size: np.ndarray, unit: np.ndarray, key: np.ndarray, cut: np.uint64, trace: list | None) -> None:
+    """Agendas of units of about one length, in place: new symbols go to sym, those that are merged away leave left.
+
+    A unit is a column, its candidates are the rows; a candidate holds its rank and row in one number, so that a column's least is its
+    best and leftmost. after and before are the rows of a symbol's neighbours.
+    """
+    wide = int(size.max())
+    bits = wide.bit_length()
+    row = np.arange(wide)[:, None]
+    at = np.minimum(begin + row, begin + size - 1)
+    n = len(begin)
+    inside = row < size - 1
+    best_of = np.where(inside & (rank[at] != _NONE), (rank[at] << bits) | row.astype(np.int32), _NONE).ravel()
+    symbol, merged = sym[at].ravel(), to[at].ravel()
+    after, before = np.repeat(np.arange(1, wide + 1), n), np.repeat(np.arange(-1, wide - 1), n)
+    while True:
+        best = np.minimum.reduce(best_of.reshape(wide, n), axis=0)
+        column = np.flatnonzero(best != _NONE)
+        if not len(column):
+            return
+        if 2 * len(column) < n:  # columns that are done go
+            best_of, symbol, merged, after, before = (x.reshape(wide, n)[:, column].ravel() for x in (best_of, symbol, merged, after, before))
+            begin, size, unit, best = begin[column], size[column], unit[column], best[column]
+            n, column = len(column), np.arange(len(column))
+        i = (best[column] & ((1 << bits) - 1)).astype(np.int64)
+        here = i * n + column
+        j = after[here]
+        gone = j * n + column
+        end = after[gone]
         if trace is not None:
-            trace.append((unit[hit], start[hit], start[hit + 1], end[hit + 1]))
-        sym[hit], end[hit] = to[hit], end[hit + 1]
-        live = np.ones(len(sym), bool)
-        live[hit + 1] = False
-        rank[hit] = _NONE
-        before = hit - np.arange(len(hit))  # places after the removals
-        sym, unit, start, end, rank, to = sym[live], unit[live], start[live], end[live], rank[live], to[live]
-        rank[before] = _NONE
-        prev = before - 1
-        prev = prev[prev >= 0]
-        same = unit[prev] == unit[prev + 1]
-        rank[prev[same]] = _NONE
-        fresh = np.unique(np.concatenate([before, prev]))
-        fresh = fresh[fresh < len(sym) - 1]
-    unit, start, sym = np.concatenate(done_unit), np.concatenate(done_start), np.concatenate(done_sym)
-    order = np.lexsort((start, unit))
-    return sym[order], unit[order]
+            trace.append((unit[column], i, j, end))
+        now = merged[here]
+        symbol[here], after[here] = now, end
+        best_of[here] = best_of[gone] = _NONE
+        first = begin[column]
+        sym[first + i] = now
+        left[first + j] = False
+        # candidates with the neighbours: the one after, then the one before
+        r = np.flatnonzero(end < size[column])
+        behind = end[r] * n + column[r]
+        before[behind] = i[r]
+        prior = before[here]
+        f = np.flatnonzero(prior >= 0)
+        ahead = prior[f] * n + column[f]
+        cell = np.concatenate([here[r], ahead])
+        rank_new, to_new = p.lookup(np.concatenate([now[r], symbol[ahead]]), np.concatenate([symbol[behind], now[f]]))
+        some = np.flatnonzero(rank_new != _NONE)
+        place = np.concatenate([i[r], prior[f]])
+        if cut and len(some):
+            owner = unit[np.concatenate([column[r], column[f]])[some]]
+            skipped = _place(key[owner], place[some], np.concatenate([end[r], i[f]])[some], np.concatenate([after[behind], end[f]])[some]) < cut
+            rank_new[some[skipped]] = _NONE
+            some = some[~skipped]
+        best_of[ahead] = _NONE
+        best_of[cell[some]] = (rank_new[some] << bits) | place[some].astype(np.int32)
+        merged[cell[some]] = to_new[some]
 
 
 def encode_units(p: Pieces, units: pa.Array, lane: np.ndarray, dropout: float, seed: int, key: np.ndarray | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -375,8 +410,7 @@ def encode_texts(p: Pieces, text: pa.Array, document: np.ndarray, dropout: float
     if dropout > 0 and len(at):
         cut, hashed = _cut(dropout), _unit_hashes(unit)
         of, left, middle, right = (np.concatenate(c) for c in zip(*trace)) if trace else (np.zeros(0, np.int64),) * 4
-        order = np.argsort(of, kind="stable")
-        left, middle, right = left[order], middle[order], right[order]
+        place = _packed(left, middle, right)[np.argsort(of, kind="stable")]
         merges = np.bincount(of, minlength=len(unit))
         first = np.cumsum(merges) - merges
         long_ = pc.greater(pc.utf8_length(unit), LONG_UNIT).to_numpy(zero_copy_only=False)
@@ -388,7 +422,7 @@ def encode_texts(p: Pieces, text: pa.Array, document: np.ndarray, dropout: float
             key = _keyed(hashed[u], occurrence[a : a + _SLICE], seed)
             k, owner = spans(first[u], merges[u]), np.repeat(np.arange(len(u)), merges[u])
             skips = long_[u]
-            skips[owner[_place(key[owner], left[k], middle[k], right[k]) < cut]] = True
+            skips[owner[mix(key[owner] + place[k]) < cut]] = True
             own = np.flatnonzero(skips)
             units = unit.take(pa.array(u[own]))
             new, new_per = encode_units(p, units, own, dropout, seed, key[own])

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import re
 import glob
 import os
@@ -523,6 +524,28 @@ def test_agenda_of_all_units_equals_the_heap(model, dropout):
         at += count[k]
 
 
+def test_agenda_costs_a_fraction_of_the_heap_and_takes_any_columns(model, monkeypatch):
+    rng = random.Random(3)
+    words = [" " + "".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(3, 14))) for _ in range(40000)]
+    units, lane = pa.array(words, pa.large_string()), np.arange(40000)
+    symbols = [[int(model.plane[ord(pieces.SPACE if c == " " else c)]) for c in w] for w in words[:4000]]
+
+    def cpu(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    took = [(cpu(lambda: pieces.encode_units(model, units, lane, 0.1, 5)), cpu(lambda: [pieces.encode_by_heap(model, s, 0, 0.0) for s in symbols])) for _ in range(5)]
+    assert 4 * min(a for a, _ in took) < 10 * min(h for _, h in took)  # a tenth of the units on the heap, without dropout
+    # units of all lengths, characters without a symbol, few columns at once
+    odd = pa.array([" " + "".join(rng.choices("aenst\x00\x06é日😀▁", k=k)) for k in [*range(48), *range(48), 60]], pa.large_string())
+    want = [x.tolist() for x in pieces.encode_units(model, odd, np.arange(97), 0.2, 5)]
+    monkeypatch.setattr(pieces, "_COLUMNS", 3)
+    assert [x.tolist() for x in pieces.encode_units(model, odd, np.arange(97), 0.2, 5)] == want
+    monkeypatch.setattr(pieces, "LONG_UNIT", 0)  # all on the heap
+    assert [x.tolist() for x in pieces.encode_units(model, odd, np.arange(97), 0.2, 5)] == want
+
+
 def test_dropout_varies_by_seed_and_lane_and_is_lossless(spark, model, awkward, nothing):
     texts = TEXTS + ["▁ literal ▁▁ mark"]
     docs = docs_of(spark, texts * 8)
