@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, release
+from .numbering import numbered
 
 ALPHA, ITERATIONS, TOLERANCE = 0.85, 100, 1e-6
-#: Most links, and nodes, of a graph that is iterated in the driver's memory (some 24 bytes each); larger ones stay distributed.
+#: Most links, and nodes, of a graph that is iterated in the driver's memory (some 24 bytes each).
 LOCAL = 1_000_000
-#: Iterations between two cuts, where the change is looked at.
+#: Most nodes whose ranks go to the links as one vector of 8 bytes a node; the links stay where they are. Larger graphs are joined.
+HELD = 16_000_000
+#: Links of a task and of a block that meets the vector at once.
+TASK, BLOCK = 4_000_000, 1 << 18
+#: Iterations between two looks at the change, and between two cuts of joined ranks.
 EVERY = 10
 TRUSTED, SPAMMY = 2000, 0.5
 
 
-def weighted_rank(edges: DataFrame, nodes: DataFrame, teleport: DataFrame | None = None, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, local: int = LOCAL) -> DataFrame:
+def weighted_rank(edges: DataFrame, nodes: DataFrame, teleport: DataFrame | None = None, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, local: int = LOCAL, held: int = HELD) -> DataFrame:
     """(id, rank) over edges (src, dst, w): the fixed point of r = p (1 - a + a dangling) + a sum(r w / out), by power iteration until an
     iteration changes the ranks by less than tolerance in all, or iterations are done.
 
     What dangling nodes lose goes where p says, so the fixed point is that of y = p (1 - a) + a sum(y w / out) scaled to a sum of 1. That
-    one needs no sum over all nodes between two iterations: EVERY iterations are one job, in which each uses the one before once.
+    one needs no sum over all nodes between two iterations.
 
-    A graph of at most local links and nodes makes more work to plan than to iterate: it goes to the driver, with the same result.
+    There are three ways with the same result. A graph of at most local links and nodes goes to the driver. Up to held nodes, the links are
+    packed into blocks once, and an iteration sends them the vector of ranks and takes back sums: nothing is shuffled. Beyond, ranks
+    and links are joined; EVERY iterations are one job, a cut keeps a lost executor's cost to it, and the one before it is deleted.
 
-    teleport: (id, p) that sums to 1; uniform where None. The links are partitioned by src once and stay so; an iteration moves one row
-    for each link and node. A cut keeps a lost executor's cost to one job, and the one before it is deleted.
+    teleport: (id, p) that sums to 1; uniform where None.
     """
     ids = nodes.select("id").distinct()
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
@@ -35,11 +45,102 @@ def weighted_rank(edges: DataFrame, nodes: DataFrame, teleport: DataFrame | None
         p = ids.crossJoin(ids.agg(F.count("*").alias("n"))).select("id", (1.0 / F.col("n")).alias("p"))
     else:
         p = ids.join(teleport, "id", "left").select("id", F.coalesce("p", F.lit(0.0)).alias("p"))
-    links = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")).repartition("src"))
-    base = cut(p.repartition("id"))
-    if links.count() <= local and base.count() <= local:
-        return _ranked_here(links, base, alpha, iterations, tolerance)
-    conf, adaptive = nodes.sparkSession.conf, nodes.sparkSession.conf.get("spark.sql.adaptive.enabled")
+    base = cut(p.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "p", F.coalesce(1.0 / F.col("out"), F.lit(0.0)).alias("inverse")).repartition("id"))
+    n, m = base.count(), edges.count()
+    if max(m, n) <= local:
+        return _ranked_here(edges, base, alpha, iterations, tolerance)
+    if n <= held:
+        return _ranked_by_vector(edges, m, base, n, alpha, iterations, tolerance)
+    return _ranked_by_joins(edges, base, alpha, iterations, tolerance)
+
+
+def _iterated(step, p: np.ndarray, alpha: float, iterations: int, tolerance: float | None) -> np.ndarray:
+    """The ranks, scaled to a sum of 1; step gives the sums over the links that ranks lead to."""
+    r = p.copy()
+    for k in range(1, iterations + 1):
+        old, r = r, p * (1 - alpha) + alpha * step(r)
+        if tolerance is not None and k % EVERY == 0 and np.abs(r - old).sum() < tolerance:
+            break
+    return r / (r.sum() or 1.0)
+
+
+def _ranked_here(edges: DataFrame, base: DataFrame, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
+    """weighted_rank of a small graph, by sums over arrays."""
+    nodes, e = base.toArrow(), edges.select("src", "dst", F.col("w").cast("double").alias("w")).toArrow()
+    p, inverse = nodes["p"].to_numpy(), nodes["inverse"].to_numpy()
+    src, dst = pc.index_in(e["src"], nodes["id"].combine_chunks()), pc.index_in(e["dst"], nodes["id"].combine_chunks())
+    known = pc.and_(pc.is_valid(src), pc.is_valid(dst))
+    src, dst, w = (x.filter(known).to_numpy() for x in (src, dst, e["w"]))
+    w = w * inverse[src]
+    rank = _iterated(lambda r: np.bincount(dst, r[src] * w, len(p)), p, alpha, iterations, tolerance)
+    rows = pa.table({"id": nodes["id"], "rank": pa.array(rank)})
+    return base.sparkSession.createDataFrame(rows) if len(rows) else base.select("id", F.col("p").alias("rank"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's links: their targets once each, where a target's links begin, their sources, their weights if any isn't 1."""
+    held = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
+    if not held:
+        return
+    s, d, w = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    order = np.argsort(d, kind="stable")
+    s, d, w = s[order], d[order], w[order]
+    for a in range(0, len(d), BLOCK):
+        to, at = np.unique(d[a : a + BLOCK], return_index=True)
+        own = w[a : a + BLOCK]
+        parts = (to.astype(np.int32), at.astype(np.int32), s[a : a + BLOCK].astype(np.int32), own if (own != 1).any() else own[:0])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["targets", "starts", "sources", "weights"])
+
+
+def _ranked_by_vector(edges: DataFrame, m: int, base: DataFrame, n: int, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
+    """weighted_rank with the ranks in one vector: a block of links gives the sums of its targets, the driver adds them up."""
+    context = edges.sparkSession.sparkContext
+    places = numbered(base, "id", name="k").withColumn("k", F.col("k").cast("int"))
+    e = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    for side, to in (("src", "s"), ("dst", "d")):
+        e = e.join(places.select(F.col("id").alias(side), F.col("k").alias(to)), side).drop(side)
+    tasks = max(context.defaultParallelism, -(-m // TASK))
+    blocks = cut(e.select("s", "d", "w").repartition(tasks, "d").mapInArrow(_packed, "targets binary, starts binary, sources binary, weights binary"))
+    t = places.select("k", "p", "inverse").toArrow()
+    p, inverse = np.zeros(n), np.zeros(n)
+    p[t["k"].to_numpy()], inverse[t["k"].to_numpy()] = t["p"].to_numpy(), t["inverse"].to_numpy()
+    del t
+
+    def step(r: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(r * inverse)
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = sent.value
+            for b in batches:
+                for to, at, source, weight in zip(*b.columns, strict=True):
+                    x = z[np.frombuffer(source.as_py(), np.int32)]
+                    if len(weight.as_py()):
+                        x = x * np.frombuffer(weight.as_py(), np.float64)
+                    sums = np.add.reduceat(x, np.frombuffer(at.as_py(), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([to.as_py()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["targets", "sums"])
+
+        found, total = blocks.mapInArrow(met, "targets binary, sums binary").toArrow(), np.zeros(n)
+        for to, sums in zip(found["targets"], found["sums"], strict=True):
+            total[np.frombuffer(to.as_py(), np.int32)] += np.frombuffer(sums.as_py(), np.float64)
+        sent.destroy()
+        return total
+
+    rank = context.broadcast(_iterated(step, p, alpha, iterations, tolerance))
+    release(blocks)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rank.value[b.column(1).to_numpy()])], ["id", "rank"])
+
+    return places.select("id", "k").mapInArrow(placed, f"id {base.schema['id'].dataType.simpleString()}, rank double")
+
+
+def _ranked_by_joins(edges: DataFrame, base: DataFrame, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
+    """weighted_rank with the ranks as rows. The links are partitioned by src once and stay so; an iteration moves one row for each link
+    and node."""
+    links = cut(edges.join(base.select(F.col("id").alias("src"), "inverse"), "src").select("src", "dst", (F.col("w") * F.col("inverse")).alias("share")).repartition("src"))
+    conf, adaptive = base.sparkSession.conf, base.sparkSession.conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")  # many small stages: planning each anew would take longer than running it
     try:
         rank, done = cut(base.select("id", F.col("p").alias("r"), F.lit(0.0).alias("old"))), 0
@@ -58,26 +159,9 @@ def weighted_rank(edges: DataFrame, nodes: DataFrame, teleport: DataFrame | None
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
     release(links)
-    release(base)
     return rank.select("id", (F.col("r") / F.lit(total or 1.0)).alias("rank"))
 
 
-def _ranked_here(links: DataFrame, base: DataFrame, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
-    """weighted_rank of a small graph, by sums over arrays."""
-    nodes, e = base.toPandas(), links.toPandas()
-    at = pd.Series(np.arange(len(nodes)), index=nodes["id"])
-    known = e["src"].isin(at.index) & e["dst"].isin(at.index)
-    src, dst, share = at[e["src"][known]].to_numpy(), at[e["dst"][known]].to_numpy(), e["share"][known].to_numpy(float)
-    p = nodes["p"].to_numpy(float)
-    r = p.copy()
-    for k in range(1, iterations + 1):
-        old, r = r, p * (1 - alpha) + alpha * np.bincount(dst, r[src] * share, len(p))
-        if tolerance is not None and k % EVERY == 0 and np.abs(r - old).sum() < tolerance:
-            break
-    rows = pd.DataFrame({"id": nodes["id"], "rank": r / (r.sum() or 1.0)})
-    return base.sparkSession.createDataFrame(rows, f"id {base.schema['id'].dataType.simpleString()}, rank double")
-
-
 def pagerank(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     return weighted_rank(edges.select("src", "dst", F.lit(1.0).alias("w")), nodes, **options)
 

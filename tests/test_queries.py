@@ -229,6 +229,24 @@ def test_ranks_equal_a_power_iteration(spark, sf_dir):
     assert here.keys() == there.keys() and all(abs(here[x] - there[x]) < 1e-12 for x in here)
 
 
+def test_ranks_are_the_same_three_ways_and_iterate_without_shuffles(spark, sf_dir):
+    n = tables.nodes(spark, sf_dir)
+    e = graph.cut(tables.edges(spark, sf_dir).withColumn("w", 1.0 + F.pmod("src", F.lit(3))))
+    teleport = graph.seeded(n.where("domain = 'EUROPE'").select("id"))
+    few = {"teleport": teleport, "tolerance": None}
+    here, vector, joined = ({x["id"]: x["rank"] for x in graph.weighted_rank(e, n, iterations=20, **few, **ways).collect()} for ways in ({}, {"local": 0}, {"local": 0, "held": 0}))
+    assert here.keys() == vector.keys() == joined.keys() and all(abs(here[x] - vector[x]) < 1e-12 and abs(here[x] - joined[x]) < 1e-12 for x in here)
+    stages = []
+    for k in (5, 25):
+        spark.sparkContext.setJobGroup(f"ranks-{k}", "ranks")
+        graph.weighted_rank(e, n, iterations=k, local=0, **few).count()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranks-{k}")
+        stages.append(sum(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in jobs))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[1] - stages[0] <= 20
+    assert graph.weighted_rank(e.limit(0), n.limit(0), local=-1).count() == graph.weighted_rank(e.limit(0), n.limit(0)).count() == 0
+
+
 def test_service_answers_and_swaps_snapshots(spark, tmp_path):
     docs = spark.createDataFrame([(0, "https://h.org/0", "h.org", "t", "red", ""), (1, "https://h.org/1", "h.org", "t", "blue", "")], "doc_id long, url string, host string, title string, body string, anchor string")
     docs.withColumn("doc_id", F.col("doc_id") + 10).write.parquet(str(tmp_path / "more"))
