@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparrowdex import registry
 from sparrowdex.functions import language
 from sparrowdex.functions import tables as tables_of
-from sparrowdex.operators import ann, evaluate, graph, judge, learn, retrieve, signals, spelling
+from sparrowdex.operators import ann, evaluate, graph, index, judge, learn, retrieve, signals, spelling
 from sparrowdex.plans.collection import Collection
 from sparrowdex.plans.engine import ROW, Engine
 from sparrowdex.plans.serve import Service, served
@@ -247,6 +247,28 @@ def test_ranks_are_the_same_three_ways_and_iterate_without_shuffles(spark, sf_di
     assert graph.weighted_rank(e.limit(0), n.limit(0), local=-1).count() == graph.weighted_rank(e.limit(0), n.limit(0)).count() == 0
 
 
+def test_documents_are_scored_where_they_are_as_by_postings(spark, sf_dir, monkeypatch):
+    d, q = tables.documents(spark, sf_dir), tables.queries_of(spark, sf_dir)
+    p, rows = index.postings(d), graph.cut(index.by_document(d, "host"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(p) and "Exchange" not in plan(index.by_document(d))
+    old = d.select("doc_id", F.explode(index.tokens(F.col("body"))).alias("term")).groupBy("term", "doc_id").count()
+    assert p.where("tf_body > 0").join(old, ["term", "doc_id"]).where("tf_body = count").count() == old.count() == p.where("tf_body > 0").count()
+    assert sorted(map(tuple, index.exploded(rows).collect())) == sorted(map(tuple, p.select(*index.exploded(rows).columns).collect()))
+    impact = rows.select("doc_id", (F.col("len_body") % 7).alias("impact"))
+    ways = lambda x, i: [retrieve.bm25f(q, x, k=7, statistics=index.averages(d)), retrieve.matching(q, x, False), retrieve.matching(q, x, True), retrieve.static_impact(q, x, i, 9)]
+    want = [sorted(map(tuple, df.collect())) for df in ways(p, impact)]
+    marked = rows.withColumn("impact", F.col("len_body") % 7)
+    for most, cells, pool in ((retrieve.QUERY_TERMS, retrieve._CELLS, retrieve._POOL), (retrieve.QUERY_TERMS, 5000, 10), (0, 0, 0)):
+        for name, value in (("QUERY_TERMS", most), ("_CELLS", cells), ("_POOL", pool)):
+            monkeypatch.setattr(retrieve, name, value)
+        got = ways(marked, "impact")
+        assert [sorted(map(tuple, df.collect())) for df in got] == want
+        # pairs of a query and a document stay where they are: only the best of each task are shuffled
+        assert not most or "Exchange" not in plan(got[1]) and "HashAggregate" not in plan(got[0])
+    assert retrieve.bm25f(q.limit(0), rows).count() == retrieve.bm25f(q, rows.limit(0), statistics=index.averages(d)).count() == 0
+
+
 def test_service_answers_and_swaps_snapshots(spark, tmp_path):
     docs = spark.createDataFrame([(0, "https://h.org/0", "h.org", "t", "red", ""), (1, "https://h.org/1", "h.org", "t", "blue", "")], "doc_id long, url string, host string, title string, body string, anchor string")
     docs.withColumn("doc_id", F.col("doc_id") + 10).write.parquet(str(tmp_path / "more"))
