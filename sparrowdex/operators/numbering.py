@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut
@@ -10,9 +10,13 @@ from ..functions.shared import cut
 
 def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
     """rows with their place in the order, from 0. Ranges of the order are sorted each by its own task, then offset by the sizes of the
-    ranges before, of which there is one number for each task."""
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
-    parts = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = parts.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__before")
+    ranges before, of which there is one number for each task: rows are moved once."""
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # the upper bits are the task's number, the lower ones a row's place there
+    part = F.shiftright("__at", 33)
+    sizes = sorted(ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, rows_before = {}, 0
+    for r in sizes:
+        before[r["part"]], rows_before = rows_before, rows_before + r["n"]
+    table = ranged.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")
+    return ranged.withColumn("__part", part).join(F.broadcast(table), "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")

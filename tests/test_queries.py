@@ -16,6 +16,7 @@ from sparrowdex import registry
 from sparrowdex.functions import language
 from sparrowdex.functions import tables as tables_of
 from sparrowdex.operators import ann, evaluate, graph, index, judge, learn, retrieve, signals, spelling
+from sparrowdex.operators.numbering import numbered
 from sparrowdex.plans.collection import Collection
 from sparrowdex.plans.engine import ROW, Engine
 from sparrowdex.plans.serve import Service, served
@@ -198,6 +199,18 @@ def test_collection_is_built_added_to_compacted_and_reclaimed(spark, tmp_path):
     assert Collection.build(spark, spark.createDataFrame([], crawl), str(tmp_path / "empty")).statistics().first()["n_docs"] == 0
 
 
+def test_routes_know_whole_words_and_shards_their_lengths(spark, tmp_path):
+    crawl = "url string, host string, crawl_date string, body string"
+    rows = [(f"http://a.org/{k}", "a.org", "2024", ("x" * 5 + " ") * 26 + f"whole{k}") for k in range(6)] + [("http://b.org/", "b.org", "2024", "!")]
+    c = Collection.build(spark, spark.createDataFrame(rows, crawl), str(tmp_path / "c"), shard=2)
+    assert c.table("docs").where("doc_id = 0").first()["title"].endswith(" whol")
+    assert c.table("postings").where("term = 'whol'").count() == 6 and not c.table("routing").where("term = 'whol'").count()
+    routes = c.routes(spark.createDataFrame([(1, "whol"), (1, "whole3")], "query_id long, term string")).collect()
+    assert [tuple(r) for r in routes] == [(1, 1, 1)]
+    assert [tuple(r) for r in c.shards().select("n", "len_title", "len_body", "len_url", "len_anchor").collect()] == [(2, 54, 54, 8, 0), (2, 54, 54, 8, 0), (2, 54, 54, 8, 0), (1, 0, 0, 3, 0)]
+    assert {r["doc_id"]: r["place"] for r in numbered(c.table("docs"), "url", name="place").collect()} == {k: k for k in range(7)}
+
+
 def test_approximate_search_finds_nine_tenths(spark, sf_dir):
     v = tables.table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
