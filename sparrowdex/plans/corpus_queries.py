@@ -152,7 +152,7 @@ def language_detection(spark, sf_dir):
 @query()
 def spelling_corrections(spark, sf_dir):
     """Corrections of all words of the pages' texts against the words of the documents."""
-    v = index.frequencies(index.postings(documents(spark, sf_dir)))
+    v = index.frequencies(index.by_document(documents(spark, sf_dir)))
     plain = F.regexp_replace("html", "<[^>]*>", " ")
     seen = table(spark, sf_dir, "pages").select(F.explode(F.array_distinct(text.tokens(plain))).alias("query")).distinct()
     return spelling.corrections(seen, spelling.dictionary(v))
@@ -170,7 +170,7 @@ def query_expansions(spark, sf_dir):
 @query()
 def vocabulary_stems(spark, sf_dir):
     """Stems of the distinct terms, which are far fewer than their occurrences."""
-    return index.frequencies(index.postings(documents(spark, sf_dir))).select("term", words.stem_udf("term").alias("stem"), "df")
+    return index.frequencies(index.by_document(documents(spark, sf_dir))).select("term", words.stem_udf("term").alias("stem"), "df")
 
 
 @query()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparrowdex import registry
 from sparrowdex.functions import language
 from sparrowdex.functions import tables as tables_of
+from sparrowdex.functions.words import osa
 from sparrowdex.operators import ann, evaluate, graph, index, judge, learn, retrieve, signals, spelling
 from sparrowdex.operators.numbering import numbered
 from sparrowdex.plans.collection import Collection
@@ -109,6 +110,38 @@ def test_languages_and_spelling(spark):
     assert {r["query"]: (r["action"], r["term"]) for r in spelling.corrections(q, v).collect()} == {"teh": ("correct", "the"), "house": ("keep", None), "hous": ("correct", "house"), "zzzzzz": ("none", None), "hoxxse": ("suggest", "house")}
 
 
+def test_corrections_against_brute_force_look_up_what_is_open(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    vocabulary = {word(): rng.randrange(2, 40) for _ in range(60)}
+    asked = sorted({word() for _ in range(60)} | {"zzzzzzzz"} | set(list(vocabulary)[:20]))
+
+    def wanted(q):
+        own, near = vocabulary.get(q), []
+        for t, n in vocabulary.items():
+            dist = osa(q, t, 2)
+            if 0 < dist < max(len(q), len(t)):  # a character at least stays
+                near.append((dist, -n, t))
+        if (own or 0) > spelling.KEEP_ABOVE or (own and not near):
+            return "keep", None, None
+        if not near:
+            return "none", None, None
+        dist, n, t = min(near)
+        return ("correct" if dist <= 1 and (own is None or -n >= spelling.MARGIN * own) else "suggest"), t, dist
+
+    seen, candidates = [], spelling.candidates
+
+    def spied(queries, words, distance):
+        seen.append({r["query"] for r in queries.collect()})
+        return candidates(queries, words, distance)
+
+    monkeypatch.setattr(spelling, "candidates", spied)
+    v = spelling.dictionary(spark.createDataFrame(list(vocabulary.items()), "term string, df long"))
+    got = {r["query"]: (r["action"], r["term"], r["dist"]) for r in spelling.corrections(spark.createDataFrame([(q,) for q in asked], "query string"), v).collect()}
+    assert got == {q: wanted(q) for q in asked}
+    assert not seen[0] & {q for q in asked if vocabulary.get(q, 0) > spelling.KEEP_ABOVE} and not seen[1] & {q for q, x in got.items() if x[2] == 1}
+
+
 def test_engine_life_cycle(spark, tmp_path):
     rows = [(k, f"https://h.org/{k}", "h.org", f"title {w}", f"{w} body text", "") for k, w in enumerate(["red", "green", "blue", "red blue"])]
     docs = spark.createDataFrame(rows, "doc_id long, url string, host string, title string, body string, anchor string")
