@@ -232,6 +232,18 @@ def test_collection_is_built_added_to_compacted_and_reclaimed(spark, tmp_path):
     assert Collection.build(spark, spark.createDataFrame([], crawl), str(tmp_path / "empty")).statistics().first()["n_docs"] == 0
 
 
+def test_vectors_without_clusters_are_found_too(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 32)).astype(np.float32)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centre = ann.centres(v)
+    exact, index_ = retrieve.nearest(q, v, 10), ann.indexed(v, centre)
+    assert ann.recall(ann.nearest(q, index_, centre, 10), exact) < 0.9
+    assert ann.PROBES < ann.probes(v, centre) < len(centre)
+    assert ann.recall(ann.nearest(q, index_, centre, 10, ann.probes(v, centre)), exact) >= 0.9
+    assert ann.probes(v.limit(0), centre) == ann.PROBES
+
+
 def test_routes_know_whole_words_and_shards_their_lengths(spark, tmp_path):
     crawl = "url string, host string, crawl_date string, body string"
     rows = [(f"http://a.org/{k}", "a.org", "2024", ("x" * 5 + " ") * 26 + f"whole{k}") for k in range(6)] + [("http://b.org/", "b.org", "2024", "!")]
