@@ -6,9 +6,11 @@ import json
 import os
 import random
 import threading
+import tracemalloc
 from urllib.request import Request, urlopen
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,19 @@ def test_nearest_in_several_passes(spark, sf_dir, monkeypatch):
     assert retrieve.nearest(q.limit(0), v).count() == 0
 
 
+def test_scores_of_many_queries_are_held_in_part():
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(6000, 8)), rng.normal(size=(3000, 8))
+    run = retrieve._best(np.arange(len(q)), retrieve._unit(q), 3)
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})
+    tracemalloc.start()
+    got = next(iter(run([frame])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = np.round(retrieve._unit(q) @ retrieve._unit(x).T, 9)
+    assert (got["vec_id"].to_numpy().reshape(-1, 3) == np.argsort(-s, axis=1, kind="stable")[:, :3]).all() and most < s.nbytes / 2
+
+
 def test_added_crawls_hold_each_key_once(spark, tmp_path):
     for k, ids in enumerate(([1, 2, 2, None], [2, 3, None])):
         spark.createDataFrame([(str(i) if i else None,) for i in ids], "url string").write.mode("append").parquet(str(tmp_path / "in"))
